@@ -12,10 +12,9 @@ BROADCAST_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
 
-    Call it with a staged or otherwise cheap frame of narrow rows: at most
-    ``rows + 1`` of them are counted.
+    Call it with a staged frame of narrow rows, whose count the Parquet footers have.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int, spread: Column) -> DataFrame:
