@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module of queries for each operator.
-MODULES = ["queries_licenses", "queries_language", "queries_dedup"]
+MODULES = ["queries_licenses", "queries_language", "queries_dedup", "queries_packing"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
