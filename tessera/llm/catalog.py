@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module of queries for each operator.
-MODULES = ["queries_licenses", "queries_language", "queries_dedup", "queries_packing", "queries_mixing", "queries_sketches"]
+MODULES = ["queries_licenses", "queries_language", "queries_dedup", "queries_packing", "queries_mixing", "queries_sketches", "queries_toxicity"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
