@@ -56,7 +56,7 @@ def xyz_url(template: Column, x: Column, y: Column, zoom: Column, subdomains: li
 
 
 def tms_url(base: Column, x: Column, y: Column, zoom: Column, flip: bool = True, extension: str = "png") -> Column:
-    row = F.shiftleft(F.lit(1).cast("long"), zoom.cast("int")) - 1 - y if flip else y
+    row = F.call_function("shiftleft", F.lit(1).cast("long"), zoom.cast("int")) - 1 - y if flip else y
     return F.concat(F.concat_ws("/", F.regexp_replace(base, "/$", ""), zoom.cast("string"), x.cast("string"), row.cast("string")), F.lit(f".{extension}"))
 
 

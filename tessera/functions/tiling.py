@@ -22,7 +22,7 @@ def wrap_longitude(lng: Column) -> Column:
 
 
 def span(zoom: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), zoom.cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), zoom.cast("int"))
 
 
 def tile_x(lng: Column, zoom: Column) -> Column:
