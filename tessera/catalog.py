@@ -1,6 +1,8 @@
-"""Named queries with their SQL twins."""
+"""Named queries with their SQL twins, gathered from ``tessera.queries``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.queries import geo, tilesets, vector  # noqa: F401  they register their queries
+from tessera.queries.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -10,8 +10,8 @@
    chance agreement, is within six standard deviations of the threshold, and is
    then confirmed on both full sets of shingles.
 3. Pairs in one component need no further look.  Where a bucket holds several
-   components after that, its pairs across components are estimated in blocks
-   of bounded size, spread over tasks, and those that pass are confirmed too.
+   components after that, its members are compared across components on their
+   full sets, in blocks of bounded size that are spread over tasks.
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with a
 probability of 3e-6, and one above it with less.
@@ -178,45 +178,56 @@ def confirmed(docs: DataFrame, pairs: DataFrame, staging: Staging, name: str, wo
     return out
 
 
-def _across(held: DataFrame, n: int, least: int, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components within buckets that hold several.
+def _links_across(held: DataFrame, percent: int, budget: int) -> DataFrame:
+    """Links (a, b) between different components within buckets that hold several.
 
-    ``held`` has (bucket, size, _id, comp, sig).  A bucket is dealt into blocks of
-    about ``block`` members; each pair of blocks is estimated by itself.
+    ``held`` has (bucket, weight, _id, comp, set).  A bucket is dealt into blocks
+    of about ``budget`` shingles, and each pair of blocks is compared by itself on
+    full sets.  No pair leaves a task but links, and of those only as many as it
+    takes to connect what is linked.
     """
-    blocks = F.ceil(F.col("size") / block).cast("int")
+    blocks = F.ceil(F.col("weight") / budget).cast("int")
     mine = F.pmod(F.xxhash64("_id"), blocks).cast("int")
     every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    dealt = held.withColumn("_blocks", blocks).withColumn("_mine", mine).select("bucket", "_id", "comp", "sig", "_mine", F.explode(every).alias("_other"))
+    dealt = held.withColumn("_blocks", blocks).withColumn("_mine", mine).select("bucket", "_id", "comp", "set", "_mine", F.explode(every).alias("_other"))
     dealt = dealt.withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
     kind = held.schema["_id"].dataType.simpleString()
 
-    def estimate(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_id")
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
         ids, comp = g["_id"].to_numpy(), g["comp"].to_numpy()
-        sig = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64)
-        own = (g["_mine"] == g["lo"]).to_numpy()
-        same_block = bool((g["lo"] == g["hi"]).iloc[0])
+        root = {c: c for c in set(comp.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
         a, b = [], []
-        for i in range(len(ids) - 1):
-            d = sig[i + 1 :] ^ sig[i]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            agree = n - np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1)
-            ok = (agree >= least) & (comp[i + 1 :] != comp[i])
-            if not same_block:
-                ok &= own[i + 1 :] != own[i]
-            at = np.flatnonzero(ok) + i + 1
-            a.append(np.full(len(at), ids[i]))
-            b.append(ids[at])
-        empty = ids[:0]
-        return pd.DataFrame({"a": np.concatenate(a) if a else empty, "b": np.concatenate(b) if b else empty})
-
-    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(estimate, f"a {kind}, b {kind}").distinct()
+        if len(root) > 1:
+            sets = [np.frombuffer(x, np.uint64) for x in g["set"]]
+            sizes = np.array([len(x) for x in sets])
+            _, code = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            marked = np.zeros(code.max() + 1, bool)
+            names, members = np.unique(comp, return_counts=True)
+            for i in np.flatnonzero(comp != names[members.argmax()]):
+                own = code[starts[i] : starts[i] + sizes[i]]
+                marked[own] = True
+                common = np.add.reduceat(marked[code], starts, dtype=np.int64)
+                marked[own] = False
+                for j in np.flatnonzero(100 * common >= percent * (sizes + sizes[i] - common)):
+                    x, y = find(comp[i].item()), find(comp[j].item())
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        a.append(ids[i])
+                        b.append(ids[j])
+        return pd.DataFrame({"a": np.array(a, ids.dtype), "b": np.array(b, ids.dtype)})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hot_share: int = 2000, block: int = 256
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hot_share: int = 2000, block_shingles: int = 1 << 17
 ) -> DataFrame:
     """One row per input row: the id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -235,13 +246,13 @@ def near_dedup(
     usable = sigs.where("_id is not null and s1 is not null")
     groups = staging.keep(usable.groupBy("s1", "s2").agg(F.min("_id").alias("cls"), F.count("*").alias("size")), "classes")
     heads = groups.select(F.col("cls").alias("_id"), "s1", "s2")
-    reps = staging.keep(usable.select("_id", "s1", "s2", "sig", "keys").join(heads, ["_id", "s1", "s2"]).select("_id", "sig", "keys"), "representatives")
+    reps = staging.keep(usable.select("_id", "s1", "s2", "n_shingles", "sig", "keys").join(heads, ["_id", "s1", "s2"]).select("_id", "n_shingles", "sig", "keys"), "representatives")
 
     # Stars: the smallest id of each bucket with its other members.
-    buckets = reps.select("_id", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("held")).where("held > 1")
+    buckets = reps.select("_id", "n_shingles", F.explode("keys").alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("held"), F.sum("n_shingles").alias("weight")).where("held > 1")
     leaders = staging.keep(leaders, "leaders")
-    stars = staging.keep(buckets.join(leaders, "bucket").select("bucket", "held", "leader", "_id"), "stars")
+    stars = staging.keep(buckets.join(leaders, "bucket").select("bucket", "held", "weight", "leader", "_id"), "stars")
     pairs = staging.keep(stars.where("leader <> _id").select(F.col("leader").alias("a"), F.col("_id").alias("b")).distinct(), "star-pairs")
     sig = reps.select("_id", "sig").distinct() if usable.count() != groups.agg(F.sum("size")).first()[0] else reps.select("_id", "sig")
     with_a, with_b = sig.toDF("a", "sig_a"), sig.toDF("b", "sig_b")
@@ -259,11 +270,12 @@ def near_dedup(
     mixed = placed.where("comp <> lead_comp and held > 2").select("bucket").distinct()
     mixed = staging.keep(mixed, "mixed")
     if mixed.count():
-        held = placed.join(broadcast_if_small(mixed), "bucket", "left_semi").select("bucket", F.col("held").alias("size"), "_id", "comp")
-        more = _across(held.join(sig, "_id"), n, least, block)
-        more = staging.keep(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.count():
-            late = confirmed(docs, more, staging, "late-links", words, percent)
+        # The star's pairs are settled, so the leaders stay out.
+        held = placed.join(broadcast_if_small(mixed), "bucket", "left_semi").where("_id <> leader").select("bucket", "weight", "_id", "comp")
+        held = staging.keep(held, "held")
+        sets = staging.keep(_sets(docs, staging.keep(held.select("_id").distinct(), "held-ids"), words), "held-sets")
+        late = staging.keep(_links_across(held.join(sets, "_id"), percent, block_shingles), "late-links")
+        if late.count():
             labels = connected_components(edges.union(late), staging, "second")
 
     found = groups.join(labels.select(F.col("v").alias("cls"), "label"), "cls", "left").select("s1", "s2", "size", F.coalesce("label", "cls").alias("component"))
