@@ -15,20 +15,23 @@ from tessera.functions import tiling as T
 from tessera.operators.pyramid import ancestors
 
 
+def level_widths(ranges: DataFrame, per_range: int = 16) -> Column:
+    """The bin width of each level as one map, a scalar subquery; tile arithmetic has at most 62 levels."""
+    widest = ranges.where("z is not null").groupBy(F.col("z").cast("int").alias("z")).agg(F.max(F.col("end_x") - F.col("start_x") + 1).alias("w"))
+    width = F.greatest(F.ceil(F.col("w") / (per_range - 1)), F.lit(1)).cast("long")
+    return widest.agg(F.map_from_entries(F.collect_list(F.struct("z", width.alias("width"))))).scalar()
+
+
 def binned_ranges(ranges: DataFrame, per_range: int = 16) -> DataFrame:
     """``ranges`` (z, start_x, end_x, start_y, end_y) with one row per bin: ``width`` of the level and ``bin``."""
-    widest = ranges.groupBy("z").agg(F.max(F.col("end_x") - F.col("start_x") + 1).alias("_w"))
-    width = F.greatest(F.ceil(F.col("_w") / (per_range - 1)), F.lit(1)).cast("long")
-    keyed = ranges.join(widest, "z").withColumn("width", width)
-    return keyed.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_x") / F.col("width")), F.floor(F.col("end_x") / F.col("width"))))).drop("_w")
+    keyed = ranges.withColumn("width", F.try_element_at(level_widths(ranges, per_range), F.col("z").cast("int")))
+    return keyed.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_x") / F.col("width")), F.floor(F.col("end_x") / F.col("width")))))
 
 
 def available(tiles: DataFrame, ranges: DataFrame) -> DataFrame:
     """The rows of ``tiles`` (z, x, y, ...) that lie in a range of their level; a level without ranges has none."""
-    keyed = binned_ranges(ranges)
-    levels = keyed.select(F.col("z").alias("_z"), "width").distinct()
-    mine = tiles.join(levels, F.col("z") == F.col("_z")).withColumn("_bin", F.floor(F.col("x") / F.col("width"))).drop("width")
-    r = keyed.select(F.col("z").alias("_rz"), F.col("bin").alias("_rb"), "start_x", "end_x", "start_y", "end_y")
+    mine = tiles.withColumn("_bin", F.floor(F.col("x") / F.try_element_at(level_widths(ranges), F.col("z").cast("int"))))
+    r = binned_ranges(ranges).select(F.col("z").alias("_rz"), F.col("bin").alias("_rb"), "start_x", "end_x", "start_y", "end_y")
     on = (F.col("z") == F.col("_rz")) & (F.col("_bin") == F.col("_rb")) & F.col("x").between(F.col("start_x"), F.col("end_x")) & F.col("y").between(F.col("start_y"), F.col("end_y"))
     return mine.join(r, on, "left_semi").select(*tiles.columns)
 

@@ -15,6 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Twice the area of a triangle that counts as none.
+FLAT = 1e-14
+
+
 def skirt_depth(low: float, high: float, zoom: int) -> float:
     """2 to 40 metres by the height range, less at coarse levels."""
     return min(max((high - low) * 0.02, 2.0), 40.0) * min(max((zoom - 2) / 10, 0.25), 1.0)
@@ -105,23 +109,24 @@ def triangulate(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     for hole in sorted((h if _area2(h) < 0 else h[::-1] for h in rings[1:]), key=lambda h: -h[:, 0].max()):
         start = int(hole[:, 0].argmax())
         h = [tuple(p) for p in np.roll(hole, -start, axis=0)]
-        best = min((i for i in range(len(points)) if _visible(h[0], points[i], points, h)), key=lambda i: math.dist(points[i], h[0]), default=None)
+        best = min((i for i in range(len(points)) if _inside_corner(points, i, h[0]) and _visible(h[0], points[i], points, h)), key=lambda i: math.dist(points[i], h[0]), default=None)
         if best is None:
             continue
         points = points[: best + 1] + h + [h[0]] + points[best:]
     pts = np.array(points)
-    live, out, guard = list(range(len(pts))), [], 0
-    while len(live) > 3 and guard < len(live):
-        for k in range(len(live)):
-            a, b, c = live[k - 1], live[k], live[(k + 1) % len(live)]
-            if _is_ear(pts, a, b, c, live):
-                out += [a, b, c]
-                live.pop(k)
-                guard = 0
-                break
+    live, out = list(range(len(pts))), []
+    while len(live) > 3:
+        around = [(k, live[k - 1], live[k], live[(k + 1) % len(live)]) for k in range(len(live))]
+        # Ears free of vertices; else ears with some on their edges, as bridges cause; else a flat vertex goes.
+        ear = next((e for loose in (False, True) for e in around if _is_ear(pts, *e[1:], live, loose)), None)
+        if ear:
+            out += ear[1:]
         else:
+            ear = next((e for e in around if abs(_cross(*pts[list(e[1:])])) <= FLAT), None)
+        if ear is None:
             break
-    if len(live) == 3:
+        live.pop(ear[0])
+    if len(live) == 3 and _cross(*pts[live]) > FLAT:
         out += live
     return pts, np.array(out, int)
 
@@ -130,8 +135,8 @@ def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-def _is_ear(pts: np.ndarray, a: int, b: int, c: int, live: list[int]) -> bool:
-    if _cross(pts[a], pts[b], pts[c]) <= 1e-14:
+def _is_ear(pts: np.ndarray, a: int, b: int, c: int, live: list[int], loose: bool) -> bool:
+    if _cross(pts[a], pts[b], pts[c]) <= FLAT:
         return False
     others = pts[[i for i in live if i not in (a, b, c)]]
     if not len(others):
@@ -139,16 +144,26 @@ def _is_ear(pts: np.ndarray, a: int, b: int, c: int, live: list[int]) -> bool:
     same = (others[:, None] == pts[[a, b, c]][None]).all(2).any(1)
     q = others[~same]
     side = lambda p, r: (r[0] - p[0]) * (q[:, 1] - p[1]) - (r[1] - p[1]) * (q[:, 0] - p[0])
-    return not ((side(pts[a], pts[b]) >= 0) & (side(pts[b], pts[c]) >= 0) & (side(pts[c], pts[a]) >= 0)).any()
+    least = np.minimum(np.minimum(side(pts[a], pts[b]), side(pts[b], pts[c])), side(pts[c], pts[a]))
+    return not (least > 0 if loose else least >= 0).any()
+
+
+def _inside_corner(ring: list, i: int, p) -> bool:
+    """Whether ``p`` lies between the two edges at a vertex, on the inner side of a ring that runs counter-clockwise."""
+    a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
+    left = (_cross(a, b, p) >= 0, _cross(b, c, p) >= 0)
+    return all(left) if _cross(a, b, c) >= 0 else any(left)
 
 
 def _visible(p, q, outer: list, hole: list) -> bool:
-    def crosses(a, b) -> bool:
-        if a in (p, q) or b in (p, q):
+    """Whether the segment from ``p`` to ``q`` meets no edge but those that end in one of them."""
+
+    def meets(a, b) -> bool:
+        if a in (p, q) or b in (p, q) or any(max(a[k], b[k]) < min(p[k], q[k]) or min(a[k], b[k]) > max(p[k], q[k]) for k in (0, 1)):
             return False
-        return _cross(p, q, a) * _cross(p, q, b) < 0 and _cross(a, b, p) * _cross(a, b, q) < 0
+        return _cross(p, q, a) * _cross(p, q, b) <= 0 and _cross(a, b, p) * _cross(a, b, q) <= 0
 
-    return not any(crosses(r[i - 1], r[i]) for r in (outer, hole) for i in range(len(r)))
+    return not any(meets(r[i - 1], r[i]) for r in (outer, hole) for i in range(len(r)))
 
 
 def extrude(rings: list[np.ndarray], base: float, height: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,9 +15,8 @@ def bursts(events: DataFrame, gap: str = "250 milliseconds", levels: int = 2, la
 
 def debounce(events: DataFrame, wait: str = "150 milliseconds", late: str = "10 seconds") -> DataFrame:
     """The last event of each run of events less than ``wait`` apart."""
-    w = F.session_window("ts", wait)
-    s = events.withWatermark("ts", late).groupBy("user", w.alias("w")).agg(F.max(F.struct("ts", "x", "y", "zoom")).alias("e"), F.max("w.end").alias("fires"))
-    return s.select("user", "e.*", "fires")
+    s = events.withWatermark("ts", late).groupBy("user", F.session_window("ts", wait)).agg(F.max(F.struct("ts", "x", "y", "zoom")).alias("e"))
+    return s.select("user", "e.*", F.col("session_window.end").alias("fires"))
 
 
 def throttle(events: DataFrame, every: str = "200 milliseconds", late: str = "10 seconds") -> DataFrame:
