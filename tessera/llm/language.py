@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._text import column, slices
 
+#: Bytes of text in a sparse batch; its arrays take some forty times as much.
+BATCH_BYTES = 1 << 20
 #: Label of texts without any letter.
 UNDETERMINED = "und"
 
@@ -95,7 +97,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", BATCH_BYTES):
             langs = column(batch, "_lang").to_pylist()
             grams, _ = ngram_buckets(column(batch, "_text").to_pylist(), bits)
             names = sorted(set(langs))
@@ -139,7 +141,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_co
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, BATCH_BYTES):
             total, ok = m.scores(column(batch, text_col).to_pylist())
             best = total.argmax(1)
             with np.errstate(under="ignore"):
