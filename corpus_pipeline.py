@@ -46,7 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents so that sources meet the square roots of their sizes, in shuffled order."""
-    return poisson_mix(docs.select(COLUMNS), alpha=0.5, volume=1.0, seed=17).select(COLUMNS)
+    return poisson_mix(docs.select(COLUMNS), alpha=0.5, volume=1.0, seed=17, in_parts=True).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

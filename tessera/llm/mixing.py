@@ -3,8 +3,10 @@
 Each source gets a repetition rate, its share of the target over its share of
 the corpus; each document draws its number of copies from the Poisson
 distribution with that mean, by inverting the distribution function at a
-uniform number that a hash of seed and id gives; the copies are exploded and
-dealt out in the order of a hash of seed, id and copy number.  The same seed
+uniform number that a hash of seed and id gives; with ``in_parts`` a mean above
+``MAX_RATE`` is split into equal means, each inverted at a uniform number of its own, and the
+counts are added.  The copies are exploded and dealt out in the order of a hash
+of seed, id and copy number.  The same seed
 gives the same mixture on any cluster, and no draw depends on other documents.
 
 DataFrame functions only.  One aggregation finds the sizes of the sources; the
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.staging import Staging
 
-#: Means above this are refused: exp(-mean) would leave the range of doubles.
+#: Means above this are drawn in parts or refused: exp(-mean) would leave the range of doubles.
 MAX_RATE = 500.0
 
 
@@ -42,6 +44,13 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
 
 
+def draws(seed: int, key: Column, parts: Column, cdf: Column) -> Column:
+    """A number of copies: the sum of ``parts`` draws by ``cdf``, each at the uniform number of its part."""
+    later = lambda k: uniform(seed, key, F.concat(F.lit("part "), k.cast("string")))
+    u = F.transform(F.sequence(F.lit(1), parts), lambda k: F.when(k == 1, uniform(seed, key)).otherwise(later(k)))
+    return F.aggregate(u, F.lit(0), lambda n, x: n + F.size(F.filter(cdf, lambda c: c < x)))
+
+
 def source_rates(df: DataFrame, staging: Staging, source_col: str, size: Column, weights: DataFrame | None, alpha: float, volume: float) -> DataFrame:
     """(_source, _rate) with one row per source of ``df``, null among them.
 
@@ -60,7 +69,6 @@ def source_rates(df: DataFrame, staging: Staging, source_col: str, size: Column,
     if not weight:  # no rows, or none of a source with a weight
         return sizes.select("_source", F.lit(0.0).alias("_rate"))
     rate = F.col("_weight") / F.lit(float(weight)) * F.lit(float(volume) * float(whole)) / F.col("_size")
-    rate = F.when(rate > MAX_RATE, F.raise_error(F.lit(f"a repetition rate is above {MAX_RATE}"))).otherwise(rate)
     return sizes.select("_source", rate.alias("_rate"))
 
 
@@ -75,6 +83,7 @@ def poisson_mix(
     seed: int = 17,
     max_broadcast: int = 10_000,
     lots: int = 64,
+    in_parts: bool = False,
 ) -> DataFrame:
     """The mixture: the columns of ``df``, ``n_copies``, ``copy`` (from 1) and ``shuffle_key``, in shuffled order.
 
@@ -82,14 +91,20 @@ def poisson_mix(
     counts 1).  A null source is a source.  Rows with one id draw alike, so a
     repeated row has as many copies each time; a null id draws as 'null'.
     Documents that draw 0 are not in the mixture.  An empty table gives an empty
-    one.  A rate above 500 and a clash of column names raise an error.
+    one.  A rate above 500 is drawn as the sum of equal parts with ``in_parts``, else
+    it raises an error, as does a clash of column names.
     """
     clash = {"n_copies", "copy", "shuffle_key"} & set(df.columns)
     if clash:
         raise ValueError(f"the table has columns {sorted(clash)}")
     staging = Staging(df.sparkSession, "mixing")
     size = F.greatest(F.coalesce(F.char_length(F.col(text_col)), F.lit(1)), F.lit(1)).cast("long")
-    rates = staging.keep(source_rates(df, staging, source_col, size, weights, alpha, volume).withColumn("_cdf", poisson_cdf(F.col("_rate"))).drop("_rate"), "rates")
+    rates = source_rates(df, staging, source_col, size, weights, alpha, volume)
+    if not in_parts:
+        above = F.raise_error(F.lit(f"a repetition rate is above {MAX_RATE}"))
+        rates = rates.withColumn("_rate", F.when(F.col("_rate") > MAX_RATE, above).otherwise(F.col("_rate")))
+    rates = rates.withColumn("_parts", F.greatest(F.ceil(F.col("_rate") / MAX_RATE), F.lit(1)).cast("int"))
+    rates = staging.keep(rates.withColumn("_cdf", poisson_cdf(F.col("_rate") / F.col("_parts"))).drop("_rate"), "rates")
     names = df.columns
     same = F.col(source_col).eqNullSafe(F.col("_source"))
     if rates.count() <= max_broadcast:
@@ -97,8 +112,7 @@ def poisson_mix(
     else:
         dealt = rates.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
         rated = df.withColumn("_at", F.pmod(F.xxhash64(id_col), F.lit(lots)).cast("int")).join(dealt, same & (F.col("_at") == F.col("_lot")))
-    u = uniform(seed, F.col(id_col))
-    drawn = rated.select(*names, u.alias("_u"), "_cdf").withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c < F.col("_u"))))
+    drawn = rated.withColumn("n_copies", draws(seed, F.col(id_col), F.col("_parts"), F.col("_cdf")))
     copies = drawn.where("n_copies > 0").select(*names, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
     key = F.conv(F.substring(F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")), "UTF-8")), 1, 15), 16, 10).cast("long")
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")

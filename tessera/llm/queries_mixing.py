@@ -9,7 +9,7 @@ from tessera.llm.mixing import poisson_mix
 
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole mixture, in shuffled order, with as many characters as the corpus in expectation."""
-    mixed = poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), alpha=0.5, volume=1.0, seed=17)
+    mixed = poisson_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), alpha=0.5, volume=1.0, seed=17, in_parts=True)
     return mixed.select("doc_id", "source", "lang", "n_copies", "copy", "shuffle_key", "text")
 
 
