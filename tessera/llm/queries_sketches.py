@@ -8,8 +8,8 @@ from tessera.llm.sketches import edit_fingerprints
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scaled sketches of every document and of its edited text."""
-    return edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Sketches of every document and of its edited text, with all shingles, so that short texts have theirs too."""
+    return edit_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), fraction=1)
 
 
 QUERIES = {"op5_fingerprints": op5_fingerprints}
