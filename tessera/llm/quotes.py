@@ -3,9 +3,10 @@
 Lines that begin with one or more ``>`` are quoted, at the level of that many
 marks.  Consecutive lines of one level are a passage.  Passages are normalised
 (lower case, single spaces) and hashed; so are the units that a message says
-itself: its whole unquoted text, its paragraphs and its lines.  A passage links
-to the earliest message of its conversation that has it as a unit, if that came
-before.  A message replies to what its passages of level 1 link to, the latest
+itself: its whole unquoted text, its paragraphs, its lines and, of each number
+of lines that a passage of the conversation has, all runs of consecutive lines
+(blank lines left out on both sides).  A passage links to the earliest message
+of its conversation that has it as a unit, if that came before.  A message replies to what its passages of level 1 link to, the latest
 if there are several (of any level if none of level 1 is linked).
 
 Parsing is a narrow pass of array functions.  Units are reduced to what is
@@ -51,13 +52,18 @@ def _without_announcements(lines: Column) -> Column:
     return F.transform(lines, one)
 
 
+def _filled(lines: Column) -> Column:
+    """The normalised lines that are not blank."""
+    return F.filter(F.transform(lines, normalised), lambda x: x != "")
+
+
 def _passages(lines: Column, starts: Column) -> Column:
     """(level, text) of each run of lines of one level of 1 or more."""
 
     def run(s: Column, k: Column) -> Column:
         end = F.coalesce(F.get(starts, k + 1), F.size(lines))
         part = F.transform(F.slice(lines, s + 1, end - s), lambda x: x["content"])
-        return F.struct(F.get(lines, s)["level"].alias("level"), normalised(F.array_join(part, " ")).alias("text"))
+        return F.struct(F.get(lines, s)["level"].alias("level"), normalised(F.array_join(part, " ")).alias("text"), _filled(part).alias("lines"))
 
     return F.filter(F.transform(starts, run), lambda p: (p["level"] > 0) & (p["text"] != ""))
 
@@ -78,6 +84,16 @@ def _units(body: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, normalised), lambda u: u != ""))
 
 
+def _runs(lines: Column, lengths: Column) -> Column:
+    """All runs of so many consecutive lines, for each of the lengths; no unit is like them, as they have line feeds."""
+
+    def of_length(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: i + m - 1 <= F.size(lines))
+        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, m), "\n"))
+
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
+
+
 def reply_paths(links: DataFrame, staging: Staging) -> DataFrame:
     """(conv, turn, path) of each link (conv, turn, parent): the turns from the first message of the thread on."""
     state = staging.keep(links.select("conv", "turn", F.col("parent").alias("top"), F.array("turn").alias("path")), "paths-0")
@@ -112,13 +128,20 @@ def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     slim = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
     parsed = parse_messages(slim.where("conv is not null and turn is not null and text is not null"), "text")
     quoted = parsed.where(F.size("_passages") > 0).select("conv", "turn", F.posexplode("_passages").alias("no", "p"))
-    quoted = staging.keep(quoted.select("conv", "turn", "no", F.col("p.level").alias("level"), F.md5(F.encode("p.text", "UTF-8")).alias("hash")), "quoted")
+    hashed = lambda t: F.md5(F.encode(t, "UTF-8"))
+    run = F.when(F.size("p.lines") > 1, hashed(F.array_join("p.lines", "\n")))
+    quoted = staging.keep(quoted.select("conv", "turn", "no", F.col("p.level").alias("level"), hashed(F.col("p.text")).alias("passage"), run.alias("run"), F.size("p.lines").alias("m")), "quoted")
+    lengths = broadcast_if_small(staging.keep(quoted.where("run is not null").groupBy("conv").agg(F.collect_set("m").alias("lengths")), "lengths"))
+    quoted = quoted.select("conv", "turn", "no", "level", "passage", F.explode(F.array_compact(F.array("passage", "run"))).alias("hash"))
     wanted = broadcast_if_small(staging.keep(quoted.select("conv", "hash").distinct(), "wanted"))
-    units = parsed.select("conv", "turn", F.explode(F.transform(_units(F.col("_body")), lambda u: F.md5(F.encode(u, "UTF-8")))).alias("hash"))
+    units = parsed.select("conv", "turn", F.explode(F.transform(_units(F.col("_body")), hashed)).alias("hash"))
+    filled = parsed.join(lengths, "conv").select("conv", "turn", "lengths", _filled(F.split("_body", "\n")).alias("lines")).where(F.size("lines") > 1)
+    units = units.union(filled.select("conv", "turn", F.explode(F.transform(_runs(F.col("lines"), F.col("lengths")), hashed)).alias("hash")))
     origins = staging.keep(units.join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("origin")), "origins")
     linked = quoted.join(broadcast_if_small(origins), ["conv", "hash"]).where("origin < turn")
+    linked = linked.groupBy("conv", "turn", "no", "level", "passage").agg(F.min("origin").alias("origin"))
     best = F.max(F.struct((F.col("level") == 1).alias("direct"), F.col("origin").alias("origin")))
-    links = staging.keep(linked.groupBy("conv", "turn").agg(best.alias("b"), F.countDistinct("no", "hash").cast("int").alias("n_linked")).select("conv", "turn", "n_linked", F.col("b.origin").alias("parent")), "links")
+    links = staging.keep(linked.groupBy("conv", "turn").agg(best.alias("b"), F.countDistinct("no", "passage").cast("int").alias("n_linked")).select("conv", "turn", "n_linked", F.col("b.origin").alias("parent")), "links")
     paths = reply_paths(links, staging).join(links, ["conv", "turn"])
     paths = staging.keep(paths.select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), "n_linked", F.col("parent").alias("parent_turn"), "path"), "paths")
 

@@ -1,0 +1,23 @@
+from __future__ import annotations
+
+from tessera.llm.quotes import link_quotations
+
+ROWS = [
+    (1, 0, "First line\nsecond line\nthird line\n\nNext paragraph\nhas two lines\n\nLast paragraph"),
+    (1, 1, "> second line\n> Third   line\nTwo of three lines."),
+    (1, 2, "> Next paragraph\n> has two lines\n>\n> last paragraph\nTwo of three paragraphs."),
+    (1, 3, "> first line\n> third line\nNot consecutive."),
+    (1, 4, "> third line\n> second line\nNot in order."),
+    (1, 5, "second line\nthird line\nsaid again"),
+    (1, 6, "> second line\n> third line\n> said again\nOnly in the later one."),
+    (1, 7, "> second line\n> third line\nThe earliest counts."),
+    (2, 0, "> second line\n> third line\nAnother conversation."),
+    (2, 1, "second line\nthird line"),
+]
+
+
+def test_parts_of_a_message_are_linked(spark):
+    df = spark.createDataFrame(ROWS, "conv_id long, turn long, text string")
+    got = {(r["conv_id"], r["turn"]): (r["n_linked"], r["parent_turn"]) for r in link_quotations(df).collect()}
+    assert [got[1, t] for t in range(8)] == [(0, None), (1, 0), (1, 0), (0, None), (0, None), (0, None), (1, 5), (1, 0)]
+    assert got[2, 0] == (0, None)
