@@ -9,10 +9,12 @@ from tessera.plans.staging import Staging
 
 
 def op2_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the archives of all pages say of each page."""
-    path = Staging(spark, "archives").path("warc")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path, least_revisit=0)
-    return read_archives(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """What the archives of all pages say of each page, and whether it is whole."""
+    staging = Staging(spark, "archives")
+    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), staging.path("warc"), least_revisit=0)
+    read = read_archives(spark, staging.path("warc"), keep_payload=False)
+    staging.drop("warc")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
 _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -23,6 +25,6 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, ''))
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
   array_to_string([substr('{_DIGITS}', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> head THEN head END AS refers_to
+  CASE WHEN page_id <> head THEN head END AS refers_to, true AS complete
 FROM p"""
 }
