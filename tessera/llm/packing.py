@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._text import column, slices, utf8
-from tessera.llm.tokens import WordIds, default_vocabulary
+from tessera.llm._text import column, slices
+from tessera.llm.tokens import STRETCH, default_vocabulary, word_ids
 from tessera.plans.staging import Staging
 
 _PIECE = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -48,12 +48,18 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = vocabulary or default_vocabulary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
-        end = np.array([separator], np.uint32)
-        for batch in slices(batches, "_text"):
+        words = word_ids(path)
+        end = np.array([separator], "<u4")
+        for batch in slices(batches, "_text", STRETCH):
+            texts = column(batch, "_text")
+            if len(texts) == 1:  # it may be a very long one
+                made = [words.encode((texts[0].as_py() or "").encode())]
+            else:
+                flat, begin = words.encode_all(texts)
+                made = [flat[i:j] for i, j in zip(begin, begin[1:], strict=False)]
             take, rows = [], []
-            for k, text in enumerate(utf8(column(batch, "_text"))):
-                ids = np.concatenate((words.encode(text or b""), end)).astype("<u4")
+            for k, own in enumerate(made):
+                ids = np.concatenate((own, end))
                 for no, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     take.append(k)

@@ -1,22 +1,32 @@
 """Token ids of whole texts by the public word-level BPE vocabulary.
 
-The tokenizer itself takes about 10 microseconds for a word it has not seen;
-texts repeat their words, so each task keeps the ids of the words it has met.
-A word is looked up as it stands between ASCII white space; an unknown one is
-split with the tokenizer's own pattern and its parts are looked up or encoded.
-Words with characters whose lower-casing or composition depends on more than
-the character itself go to the tokenizer whole.  The ids are the tokenizer's.
+The tokenizer takes some microseconds for each word, and texts repeat their
+words.  So a slice of texts is split at ASCII white space and its distinct words
+are found by Arrow; only these are looked up or encoded, and numpy gathers the
+ids of all words.  Words that a slice repeats are remembered for the next ones.  An unknown word is split with the tokenizer's own pattern and
+its parts are looked up or encoded.  Words with characters whose lower-casing or
+composition depends on more than the character itself, and words that may spell a
+special token, go to the tokenizer whole.  The ids are the tokenizer's.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
+from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words that a task remembers; then it starts anew, so its memory stays bounded.
-REMEMBERED = 300_000
+#: Words that a Python process remembers: two generations of so many, and the last slice's.
+REMEMBERED = 100_000
+#: Longer words are not remembered.
+LONGEST = 64
+#: A longer text is encoded in stretches of about so many bytes, cut at white space.
+STRETCH = 4 << 20
+_SPACES = b" \t\n\r\x0b\x0c"
 
 
 def default_vocabulary() -> str:
@@ -25,47 +35,98 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Parts(dict):
-    """Ids of a part (letters, one digit, or signs)."""
+def stretches(text: bytes, size: int = STRETCH) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes that end at white space; a longer word stays whole."""
+    start = 0
+    while len(text) - start > size:
+        cut = max(text.rfind(bytes([c]), start, start + size) for c in _SPACES) + 1
+        if not cut:
+            ahead = [p for p in (text.find(bytes([c]), start + size) for c in _SPACES) if p >= 0]
+            cut = min(ahead, default=len(text) - 1) + 1
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
 
-    def __init__(self, tokenizer):
-        self.pre, self.model = tokenizer.pre_tokenizer, tokenizer.model
 
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        spelt = [part] if part.isascii() else [s for s, _ in self.pre.pre_tokenize_str(part)]
-        ids = self[part] = tuple(t.id for s in spelt for t in self.model.tokenize(s))
-        return ids
-
-
-class WordIds(dict):
-    """Ids of a word as UTF-8; ``encode`` gives those of a text."""
+class WordIds:
+    """The tokenizer with what it has encoded lately."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.parts = _Parts(self.tokenizer)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         # One character at a time maps to lower case here, and is composed already.
         self.plain = regex.compile("[!-~¡-įı-˿]+").fullmatch
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = word.decode()
-        if self.plain(text):
-            parts = self.parts
-            ids = tuple(i for p in self.split(text.lower()) for i in parts[p])
+        spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The sign that stands for each byte; the bytes of UTF-8 that occur are those of these characters.
+        signs = {chr(b): s for c in map(chr, range(0x300)) for b, s in zip(c.encode(), spelt.pre_tokenize_str(c)[0][0], strict=True)}
+        self.signs = str.maketrans(signs)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        spelt = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        return array("i", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
+
+    def _word(self, word: str, parts: dict[str, bytes]) -> bytes:
+        """The ids of a word; ``parts`` has those of parts of other words."""
+        if word.isascii() and word.isalpha():
+            spelt = [word.lower()]
+        elif "<|" not in word and self.plain(word):
+            spelt = self.split(word.lower())
         else:
-            ids = tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+            return array("i", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        out = []
+        for p in spelt:
+            ids = parts.get(p)
+            if ids is None:
+                ids = parts[p] = self.young.get(p) or self.old.get(p) or self._part(p)
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def _known(self, words: list[str], repeated: list[bool]) -> list[bytes]:
+        """The ids of distinct words; those that are repeated are remembered."""
+        parts: dict[str, bytes] = {}
+        out = []
+        for word, again in zip(words, repeated, strict=True):
+            ids = self.young.get(word)
+            if ids is None:
+                ids = self.old.get(word)
+                if ids is None:
+                    ids = self._word(word, parts)
+                if again and len(word) <= LONGEST:
+                    self.young[word] = ids
+            out.append(ids)
+        if len(self.young) > REMEMBERED:  # a full generation replaces the one before it
+            self.young, self.old = {}, self.young
+        return out
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each begin (and the last ends); null is empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        named = words.flatten().dictionary_encode()
+        word = named.indices.to_numpy()
+        known = self._known(named.dictionary.to_pylist(), (np.bincount(word, minlength=len(named.dictionary)) > 1).tolist())
+        sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
+        flat = np.frombuffer(b"".join(known), "<u4")
+        many = sizes[word]
+        ends = np.cumsum(many, dtype=np.int32)  # a slice has fewer than 2**31 bytes
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total, dtype=np.int32) + np.repeat(begins[word] - (ends - many), many)
+        per_text = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return flat[at], per_text
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint32)
+        """The ids of one text of any length, in stretches."""
+        parts = [self.encode_all(pa.array([s.decode()], pa.large_string()))[0] for s in stretches(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """The one instance of this process, so that tasks that follow find the words of those before."""
+    return WordIds(path)

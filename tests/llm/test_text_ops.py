@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -60,24 +61,72 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
-def test_language_equals_plain_bayes(spark):
-    docs = [("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), (None, "fr"), ("no label", None)]
+def plain_grams(text):
+    """The n-grams of a text, written out: letters, pairs with a letter, triples around a letter; other signs are spaces."""
+    t = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + "  "
+    for i in range(len(t) - 2):
+        if t[i] != " ":
+            yield t[i]
+        if t[i] != " " or t[i + 1] != " ":
+            yield t[i : i + 2]
+        if t[i + 1] != " ":
+            yield t[i : i + 3]
+
+
+def plain_bucket(gram, bits):
+    a, b, c = ([ord(x) for x in gram] + [0, 0])[:3]
+    h = {1: a * 0x85EBCA6B + 0x27D4EB2F, 2: a * 0xC2B2AE35 + b * 0x165667B1 + 0x51ED270B, 3: (a * 0xC2B2AE35 + b) * 0x165667B1 + c * 0x2545F491}[len(gram)] % 2**32
+    return ((h ^ (h >> 15)) * 0x9E3779B1) % 2**32 >> (32 - bits)
+
+
+def test_language_equals_plain_bayes(spark, monkeypatch):
+    bits, smoothing = 12, 0.5
+    docs = [("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), (None, "fr"), ("no label", None), ("the cat and the dog", "en")]
     df = spark.createDataFrame(docs, "text string, lang string")
-    m = language.fit(df, bits=12)
+    m = language.fit(df, bits=bits)
     assert m.langs == ["de", "en", "fr"]
-    texts = ["the dog", "die Katze", "le chat", "123 !", "", None, "𝔘", "x\U0001f600y"]
-    total, ok = m.scores(texts)
-    for t, row, o in zip(texts, total, ok, strict=True):
-        grams, _ = language.ngram_buckets([t], 12)
-        want = m.log_prior + sum(m.log_prob[:, int(b)].astype(float) for h, _ in grams for b in h)
-        assert np.allclose(row, want, atol=1e-3)
-        assert o == any(c.isalpha() for c in (t or "").lower())
-    scored = language.predict(spark.createDataFrame([(t, 1) for t in texts], "text string, langs int"), m).collect()
+    counts = {x: [0] * 2**bits for x in m.langs}
+    for text, lang in docs:
+        for g in plain_grams(text) if lang else ():
+            counts[lang][plain_bucket(g, bits)] += 1
+    prob = {x: [(n + smoothing) / (sum(c) + smoothing * 2**bits) for n in c] for x, c in counts.items()}
+    prior = {x: sum(lang == x for _, lang in docs) / 5 for x in m.langs}
+    texts = ["the dog", "die Katze", "le chat", "123 !", "", None, "𝔘", "x\U0001f600y", "Der HUND " * 400]
+    for window in (1 << 18, 5):
+        monkeypatch.setattr(language, "WINDOW", window)
+        total, letters, grams = m.scores(texts)
+        for t, row, k, n in zip(texts, total, letters, grams, strict=True):
+            found = list(plain_grams(t))
+            want = [np.log(prior[x]) + sum(np.log(prob[x][plain_bucket(g, bits)]) for g in found) for x in m.langs]
+            assert np.allclose(row, want, rtol=1e-5, atol=1e-3)
+            assert k == sum(c.isalpha() for c in (t or "").lower()) and n == len(found)
+    scored = language.predict(spark.createDataFrame([(t, 1) for t in texts], "text string, langs int"), m, margin_col="margin").collect()
     assert [r["lang_pred"] for r in scored][:6] == ["en", "de", "fr", "und", "und", "und"]
+    assert all((r["margin"] is None) == (r["lang_pred"] == "und") for r in scored)
     with pytest.raises(ValueError):
         language.predict(df.withColumnRenamed("lang", "lang_pred"), m)
-    with pytest.raises(ValueError):
-        language.fit(df.limit(0))
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([("some text", None), (None, None)], "text string, lang string")
+    for docs in (df, df.limit(0)):
+        m = language.fit(docs)
+        assert m.langs == []
+        got = language.predict(df, m, margin_col="margin").collect()
+        assert [(r["lang_pred"], r["lang_score"], r["margin"]) for r in got] == [("und", 0.0, None)] * 2
+        assert language.predict(df.limit(0), m).count() == 0
+
+
+def test_very_long_text_in_bounded_memory():
+    """Windows keep the arrays small however long a text is."""
+    import tracemalloc
+
+    m = language.LanguageModel(["a", "b"], np.zeros((2, 1 << 12), np.float32), np.zeros(2), 12)
+    tracemalloc.start()
+    _, letters, _ = m.scores(["lang text " * 1_000_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters[0] == 8_000_000 and peak < 60_000_000
 
 
 # ---- fingerprints
@@ -160,6 +209,24 @@ def test_tokens_are_the_tokenizers(spark):
     assert got == want
 
 
+def test_tokens_of_random_texts():
+    from tokenizers import Tokenizer
+
+    from tessera.llm import tokens
+
+    path = tokens.default_vocabulary()
+    t, ours, rng = Tokenizer.from_file(path), tokens.WordIds(path), random.Random(5)
+    signs, more = "abzABZ019 .,'\"-<|>sStTdDmMreve\t\n\x0b\x1c\x85\xa0éÉßİıſΑαΣς中文\u0301 ẞ🙂ñ¿´", ["<|endoftext|>", "<|startoftext|>", "'s", "'LL"]
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.93 else rng.choice(more) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    flat, begin = ours.encode_all(pa.array([*texts, None]))
+    for x, i, j in zip([*texts, ""], begin, begin[1:], strict=False):
+        assert t.encode(x, add_special_tokens=False).ids == flat[i:j].tolist()
+    long = " ".join(texts).encode()
+    for size in (10, 1000):
+        assert b"".join(tokens.stretches(long, size)) == long
+    assert np.concatenate([ours.encode(s) for s in tokens.stretches(long, 1000)]).tolist() == ours.encode(long).tolist()
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
