@@ -13,7 +13,7 @@ import pyarrow.compute  # noqa: F401
 ALNUM = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 #: Rows of text that a task holds at once, in bytes; one longer text is still held whole.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -27,7 +27,10 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of a slice are about ``limit`` bytes or a single row."""
+    """The batches cut so that the texts of a slice are about ``limit`` bytes or a single row.
+
+    Memory that Arrow has freed goes back to the system after each batch: workers outlive their tasks.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -40,6 +43,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, col
+        pa.default_memory_pool().release_unused()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

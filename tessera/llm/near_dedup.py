@@ -49,7 +49,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
