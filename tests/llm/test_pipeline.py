@@ -8,10 +8,12 @@ from tests.llm.test_dedup import near_brute
 
 def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").cache()
-    odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "12345", "en", "s", 5), (9003, None, None, None, None)], docs.schema)
-    spoken = p.identify_language(spark, docs.union(odd), SF)
-    assert spoken.columns == p.COLUMNS and not {9001, 9002, 9003} & {r["doc_id"] for r in spoken.collect()}
-    assert spoken.count() == docs.count()
+    own = docs.where("lang = 'de' and n_chars > 500").first()["text"]
+    foreign = ["Это предложение на русском языке, которое никто не учил.", "qzx vjwk pqgh xkcd bzvt qwrt mnbv zxqj kwpf gqzv xjqk wvzb", "這是一個沒有人學過的句子"]
+    odd = [(9001, None, "en", "s", 0), (9002, "12345", "en", "s", 5), (9003, None, None, None, None), *((9004 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)), (9010, own + " Und", None, "s", len(own))]
+    spoken = p.identify_language(spark, docs.union(spark.createDataFrame(odd, docs.schema)), SF)
+    ids = {r["doc_id"]: r["lang"] for r in spoken.collect()}
+    assert spoken.columns == p.COLUMNS and set(ids) == {r["doc_id"] for r in docs.collect()} | {9010} and ids[9010] == "de"
     once = p.drop_exact_copies(spark, spoken, SF)
     texts = {}
     for r in spoken.collect():
