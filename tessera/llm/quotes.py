@@ -1,164 +1,252 @@
 """Quotation linking: conversations in reply order, without quoted text.
 
 Lines that begin with one or more ``>`` are quoted, at the level of that many
-marks.  Consecutive lines of one level are a passage.  Passages are normalised
-(lower case, single spaces) and hashed; so are the units that a message says
-itself: its whole unquoted text, its paragraphs, its lines and, of each number
-of lines that a passage of the conversation has, all runs of consecutive lines
-(blank lines left out on both sides).  A passage links to the earliest message
-of its conversation that has it as a unit, if that came before.  A message replies to what its passages of level 1 link to, the latest
-if there are several (of any level if none of level 1 is linked).
-
-Parsing is a narrow pass of array functions.  Units are reduced to what is
-quoted at all and summed to their first turn before they are shuffled, so a
-unit that very many messages share is one row for each task.  Reply paths are
-found by doubling, over linked messages alone.
+marks.  Consecutive lines of one level are a passage.  A passage is two
+sequences, its lines and its paragraphs, each normalised (lower case, single
+spaces, blank ones left out) and hashed; so is what a message says itself.  A
+passage links to a message that has the passage's lines, or its paragraphs, one
+after another among its own: any run of them, so parts of a message link as
+well as all of it, and paragraphs link however their lines are wrapped.
+
+Messages are ordered by conversation and turn.  A passage links to the earliest
+such message of its own conversation if that came before, else to the earliest
+such message of all if that came before.  A message replies to what its passages
+of level 1 link to (those of any level if none of level 1 is linked): in its own
+conversation if possible, the latest if there are several.
+
+1. Messages are parsed once, in a narrow pass, and staged.
+2. The first unit of each quoted run is its anchor.  Messages' units are joined
+   to the anchors (units that very many messages have are joined by broadcast),
+   and only at these places runs are hashed, of the lengths wanted there.
+3. Run hashes are summed to their earliest message, per conversation and over
+   all, before they are shuffled, and joined to the quoted runs.
+4. Threads are found by doubling: each message holds its topmost known ancestor
+   and the steps up to it, so a state has one small row per linked message.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.joins import broadcast_if_small
+from tessera.llm._text import column, slices, utf8
+from tessera.plans.joins import left_join_hot
 from tessera.plans.staging import Staging
 
-SPACE = "[ \\t\\n\\x0B\\f\\r]"
+SPACE = " \t\n\x0b\f\r"
 #: Verbs that end the line above a quotation, as "... wrote:".
-ATTRIBUTION = f"(wrote|writes|schrieb|écrit|escribió){SPACE}*:{SPACE}*$"
+ATTRIBUTION = re.compile(f"(?:wrote|writes|schrieb|écrit|escribió)[{SPACE}]*:[{SPACE}]*$")
+MARKS = re.compile(r"(?:[ \t]*>)+")
+NEW = ["body", "n_quotes", "max_level", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth"]
 
 
-def normalised(text: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")))
+def normalised(text: str) -> str:
+    return re.sub(f"[{SPACE}]+", " ", text).strip(" ").lower()
 
 
-def _lines(text: Column) -> Column:
+def levels_of(text: str) -> list[tuple[int, str]]:
     """(level, content) of each line; the line that announces a quotation has empty content."""
-    raw = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\\r\\n?", "\n"), "\n")
-
-    def parsed(line: Column) -> Column:
-        marks = F.regexp_extract(line, "^((?:[ \\t]*>)+)", 1)
-        rest = F.when(F.length(marks) > 0, F.regexp_replace(F.substring(line, F.length(marks) + 1, F.length(line)), "^ ", "")).otherwise(line)
-        return F.struct(F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), rest.alias("content"))
-
-    return F.transform(raw, parsed)
-
-
-def _without_announcements(lines: Column) -> Column:
-    def one(x: Column, i: Column) -> Column:
-        follows = F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0
-        return F.struct(x["level"].alias("level"), F.when((x["level"] == 0) & follows & x["content"].rlike(ATTRIBUTION), "").otherwise(x["content"]).alias("content"))
-
-    return F.transform(lines, one)
-
-
-def _filled(lines: Column) -> Column:
-    """The normalised lines that are not blank."""
-    return F.filter(F.transform(lines, normalised), lambda x: x != "")
-
-
-def _passages(lines: Column, starts: Column) -> Column:
-    """(level, text) of each run of lines of one level of 1 or more."""
-
-    def run(s: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(starts, k + 1), F.size(lines))
-        part = F.transform(F.slice(lines, s + 1, end - s), lambda x: x["content"])
-        return F.struct(F.get(lines, s)["level"].alias("level"), normalised(F.array_join(part, " ")).alias("text"), _filled(part).alias("lines"))
-
-    return F.filter(F.transform(starts, run), lambda p: (p["level"] > 0) & (p["text"] != ""))
-
-
-def parse_messages(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with ``_body`` (unquoted text) and ``_passages``, in one narrow projection."""
-    a = df.withColumn("_lines", _lines(F.col(text_col)))
-    a = a.withColumn("_lines", _without_announcements(F.col("_lines")))
-    first = lambda i: (i == 0) | (F.get(F.col("_lines"), i)["level"] != F.get(F.col("_lines"), i - 1)["level"])
-    a = a.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), first))
-    own = F.array_join(F.transform(F.filter("_lines", lambda x: x["level"] == 0), lambda x: x["content"]), "\n")
-    a = a.withColumn("_body", F.regexp_replace(own, f"^{SPACE}+|{SPACE}+$", ""))
-    return a.withColumn("_passages", _passages(F.col("_lines"), F.col("_starts"))).drop("_lines", "_starts")
-
-
-def _units(body: Column) -> Column:
-    parts = F.concat(F.array(body), F.split(body, "\\n[ \\t]*\\n"), F.split(body, "\\n"))
-    return F.array_distinct(F.filter(F.transform(parts, normalised), lambda u: u != ""))
-
-
-def _runs(lines: Column, lengths: Column) -> Column:
-    """All runs of so many consecutive lines, for each of the lengths; no unit is like them, as they have line feeds."""
-
-    def of_length(m: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: i + m - 1 <= F.size(lines))
-        return F.transform(starts, lambda i: F.array_join(F.slice(lines, i, m), "\n"))
-
-    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
-
-
-def reply_paths(links: DataFrame, staging: Staging) -> DataFrame:
-    """(conv, turn, path) of each link (conv, turn, parent): the turns from the first message of the thread on."""
-    state = staging.keep(links.select("conv", "turn", F.col("parent").alias("top"), F.array("turn").alias("path")), "paths-0")
-    k = 0
+    out: list[tuple[int, str]] = []
+    for line in re.sub("\r\n?", "\n", text).split("\n"):
+        marks = MARKS.match(line)
+        if marks:
+            if out and out[-1][0] == 0 and ATTRIBUTION.search(out[-1][1]):
+                out[-1] = (0, "")
+            out.append((marks[0].count(">"), line[marks.end() :].removeprefix(" ")))
+        else:
+            out.append((0, line))
+    return out
+
+
+def sequences(lines: list[str]) -> list[list[str]]:
+    """The units of some lines: normalised lines and, if they differ, normalised paragraphs; blank ones left out."""
+    plain = [normalised(x) for x in lines]
+    units = [x for x in plain if x]
+    paragraphs, begun = [], False
+    for x in plain:
+        if x and begun:
+            paragraphs[-1] += " " + x
+        elif x:
+            paragraphs.append(x)
+        begun = bool(x)
+    return [s for s in ([units] if paragraphs == units else [units, paragraphs]) if s]
+
+
+def parse_message(text: str) -> tuple[str, list[list[str]], list[tuple[int, list[list[str]]]]]:
+    """The body, its sequences, and (level, sequences) of each passage that is not blank."""
+    lines = levels_of(text)
+    own = [c for level, c in lines if level == 0]
+    passages, at = [], 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and lines[end][0] == lines[at][0]:
+            end += 1
+        if lines[at][0] and (found := sequences([c for _, c in lines[at:end]])):
+            passages.append((lines[at][0], found))
+        at = end
+    return "\n".join(own).strip(SPACE), sequences(own), passages
+
+
+def unit_hash(unit: str) -> int:
+    return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def run_hash(hashes: list[int]) -> bytes:
+    """128 bits of a run of unit hashes."""
+    return xxhash.xxh3_128_digest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes))
+
+
+def parse_messages(rows: DataFrame) -> DataFrame:
+    """``rows`` (_text and others) with _body, _seqs (hashes of its sequences) and _passages instead of the text."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        kinds = (pa.string(), pa.list_(longs), pa.list_(pa.struct([("level", pa.int32()), ("runs", pa.list_(longs))])))
+        for batch in slices(batches, "_text"):
+            made = []
+            for text in utf8(column(batch, "_text")):
+                body, seqs, passages = parse_message((text or b"").decode())
+                hashed = lambda several: [[unit_hash(u) for u in s] for s in several]
+                made.append((body, hashed(seqs), [{"level": level, "runs": hashed(runs)} for level, runs in passages]))
+            kept = [n for n in batch.schema.names if n != "_text"]
+            new = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *new], [*kept, "_body", "_seqs", "_passages"])
+
+    empty = rows.limit(0).drop("_text").withColumn("_body", F.lit("").cast("string"))
+    empty = empty.withColumn("_seqs", F.array().cast("array<array<bigint>>")).withColumn("_passages", F.array().cast("array<struct<level:int,runs:array<array<bigint>>>>"))
+    return rows.mapInArrow(parse, empty.schema)
+
+
+def _quoted_runs(parsed: DataFrame) -> DataFrame:
+    """(conv, turn, rid, no, level, m, first, key) of each run of each passage."""
+    flat = parsed.where(F.size("_passages") > 0).select("conv", "turn", "rid", F.posexplode("_passages").alias("no", "p")).select("conv", "turn", "rid", "no", F.col("p.level").alias("level"), F.explode("p.runs").alias("run"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = column(batch, "run").to_pylist()
+            kept = [n for n in batch.schema.names if n != "run"]
+            new = [pa.array([len(r) for r in runs], pa.int32()), pa.array([r[0] for r in runs], pa.int64()), pa.array([run_hash(r) for r in runs], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *new], [*kept, "m", "first", "key"])
+
+    schema = flat.limit(0).drop("run").withColumn("m", F.lit(0)).withColumn("first", F.lit(0).cast("long")).withColumn("key", F.lit(b""))
+    return flat.mapInArrow(keyed, schema.schema)
+
+
+def _runs_at(hits: DataFrame) -> DataFrame:
+    """(conv, turn, key) of the runs of ``hits`` (conv, turn, _seqs, at: (seq, pos, lengths) in an array)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, keys = [], []
+            for k, (seqs, places) in enumerate(zip(column(batch, "_seqs").to_pylist(), column(batch, "at").to_pylist(), strict=True)):
+                found = {run_hash(seqs[p["seq"]][p["pos"] : p["pos"] + m]) for p in places for m in p["lengths"] if p["pos"] + m <= len(seqs[p["seq"]])}
+                take += [k] * len(found)
+                keys += sorted(found)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, "conv").take(at), column(batch, "turn").take(at), pa.array(keys, pa.binary())], ["conv", "turn", "key"])
+
+    schema = hits.limit(0).select("conv", "turn").withColumn("key", F.lit(b""))
+    return hits.mapInArrow(cut, schema.schema)
+
+
+def find_origins(parsed: DataFrame, runs: DataFrame, staging: Staging, hot_share: int) -> DataFrame:
+    """(key, conv, turn): of each quoted run and each conversation that says it, the earliest message with it; staged."""
+    anchors = runs.groupBy("first").agg(F.collect_set("m").alias("lengths"))
+    # Sequences and places of all messages; a unit that very many have is joined by broadcast.
+    units = parsed.select("rid", F.posexplode("_seqs").alias("seq", "s")).select("rid", "seq", F.posexplode("s").alias("pos", "first"))
+    weights = units.groupBy("first").agg(F.count("*").alias("weight"))
+    anchors = staging.keep(anchors.join(weights, "first"), "anchors")
+    total = parsed.agg(F.coalesce(F.sum(F.aggregate("_seqs", F.lit(0), lambda n, s: n + F.size(s))), F.lit(0))).first()[0]
+    met = left_join_hot(units, anchors, ["first"], "weight", max(2, total // hot_share), F.xxhash64("rid", "pos")).where("lengths is not null")
+    places = met.groupBy("rid").agg(F.collect_list(F.struct("seq", "pos", "lengths")).alias("at"))
+    hits = parsed.select("rid", "conv", "turn", "_seqs").join(places, "rid").select("conv", "turn", "_seqs", "at")
+    said = staging.keep(_runs_at(hits).groupBy("key", "conv").agg(F.min("turn").alias("turn")), "said")
+    wanted = runs.select("key").distinct()
+    return staging.keep(said.join(wanted, "key", "left_semi"), "origins")
+
+
+def link_runs(runs: DataFrame, origins: DataFrame, hot: int) -> DataFrame:
+    """(conv, turn, n_linked, parent_conv, parent_turn) of each message that is linked."""
+    deal = F.xxhash64("rid", "no")
+    many = runs.groupBy("key", "conv").agg(F.count("*").alias("n"))
+    own = origins.join(many, ["key", "conv"]).withColumnRenamed("turn", "own_turn")
+    first = origins.groupBy("key").agg(F.min(F.struct("conv", "turn")).alias("first_said")).join(many.groupBy("key").agg(F.sum("n").alias("n_all")), "key")
+    linked = left_join_hot(left_join_hot(runs, own, ["key", "conv"], "n", hot, deal), first, ["key"], "n_all", hot, deal)
+    here = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.lit(True).alias("here"), "conv", F.col("own_turn").alias("turn")))
+    there = F.when(F.col("first_said") < F.struct("conv", "turn"), F.struct(F.lit(False).alias("here"), F.col("first_said.conv").alias("conv"), F.col("first_said.turn").alias("turn")))
+    linked = linked.withColumn("to", F.coalesce(here, there)).where("to is not null")
+    # Of a passage's two runs the better link counts: in its own conversation, then the earliest.
+    best = F.min(F.struct((~F.col("to.here")).alias("away"), F.col("to.conv").alias("c"), F.col("to.turn").alias("t")))
+    passages = linked.groupBy("conv", "turn", "rid", "no", "level").agg(best.alias("b"))
+    parent = F.max(F.struct((F.col("level") == 1).alias("direct"), (~F.col("b.away")).alias("here"), F.col("b.c").alias("c"), F.col("b.t").alias("t")))
+    # Messages that share conversation and turn have the passages of either.
+    links = passages.groupBy("conv", "turn").agg(F.count("*").cast("int").alias("n_linked"), parent.alias("p"))
+    return links.select("conv", "turn", "n_linked", F.col("p.c").alias("parent_conv"), F.col("p.t").alias("parent_turn"))
+
+
+def reply_threads(links: DataFrame, staging: Staging, hot_share: int) -> DataFrame:
+    """(conv, turn, thread_conv, thread_turn, depth) of each link: its first ancestor and the steps up to it."""
+    top = F.struct(F.col("parent_conv").alias("conv"), F.col("parent_turn").alias("turn"))
+    state = staging.keep(links.select(F.struct("conv", "turn").alias("node"), top.alias("top"), F.lit(1).alias("depth")), "threads-0")
+    hot, k = max(2, links.count() // hot_share), 0
     while True:
-        up = broadcast_if_small(state.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("top").alias("next"), F.col("path").alias("before")))
-        on = (F.col("conv") == F.col("c")) & (F.col("top") == F.col("t"))
-        longer = state.join(up, on, "left").select("conv", "turn", F.coalesce("next", "top").alias("top"), F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"), F.col("t").isNotNull().alias("moved"))
+        pointed = state.groupBy("top").agg(F.count("*").alias("n"))
+        up = state.select(F.col("node").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more")).join(pointed, "top")
+        longer = left_join_hot(state, up, ["top"], "n", hot, F.xxhash64("node")).select("node", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
         k += 1
-        longer = staging.keep(longer, f"paths-{k}")
+        longer = staging.keep(longer, f"threads-{k}")
+        staging.drop(f"threads-{k - 1}")
         if not longer.where("moved").limit(1).count():
-            return longer.select("conv", "turn", F.concat(F.array("top"), "path").alias("path"))
+            return longer.select("node.conv", "node.turn", F.col("top.conv").alias("thread_conv"), F.col("top.turn").alias("thread_turn"), "depth")
         state = longer.drop("moved")
 
 
-def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """The messages in reply order with columns ``body``, ``n_quotes``, ``max_level``, ``n_linked``, ``parent_turn``, ``depth``, ``reply_path``.
+def link_quotations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", hot_share: int = 2000) -> DataFrame:
+    """The messages without quotations, in reply order.
 
-    One row per input row, its other columns but the text included; rows are
-    sorted by conversation and reply path, so every reply follows what it
-    replies to.  A null text has an empty body.  A message with a null
-    conversation or turn is linked with nothing and has its turn as path.
-    Messages that share conversation and turn are one message to those that quote them
-    and share their links.  An empty table gives an empty result; a clash
-    with the new names raises ValueError.
+    New columns: ``body``, ``n_quotes``, ``max_level``, ``n_linked``, ``parent_conv``,
+    ``parent_turn``, ``thread_conv`` and ``thread_turn`` (the first message of the thread),
+    ``depth`` (steps from there).  One row per input row, its other columns but
+    the text included; rows are sorted by thread, conversation and turn, so every
+    reply follows what it replies to.  A message without a parent begins a thread.  A
+    null text has an empty body.  A message with a null conversation or turn is
+    linked with nothing.  Messages that share conversation and turn are one message to
+    those that quote them and share their links.  An empty table gives an empty
+    result; a clash with the new names raises ValueError.
     """
-    made = ["body", "n_quotes", "max_level", "n_linked", "parent_turn", "depth", "reply_path"]
     others = [c for c in df.columns if c not in (conv_col, turn_col, text_col)]
-    if set(made) & set(df.columns):
-        raise ValueError(f"the table has columns {sorted(set(made) & set(df.columns))}")
+    if set(NEW) & set(df.columns):
+        raise ValueError(f"the table has columns {sorted(set(NEW) & set(df.columns))}")
     staging = Staging(df.sparkSession, "quotes")
-    slim = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(text_col).alias("text"))
-    parsed = parse_messages(slim.where("conv is not null and turn is not null and text is not null"), "text")
-    quoted = parsed.where(F.size("_passages") > 0).select("conv", "turn", F.posexplode("_passages").alias("no", "p"))
-    hashed = lambda t: F.md5(F.encode(t, "UTF-8"))
-    run = F.when(F.size("p.lines") > 1, hashed(F.array_join("p.lines", "\n")))
-    quoted = staging.keep(quoted.select("conv", "turn", "no", F.col("p.level").alias("level"), hashed(F.col("p.text")).alias("passage"), run.alias("run"), F.size("p.lines").alias("m")), "quoted")
-    lengths = broadcast_if_small(staging.keep(quoted.where("run is not null").groupBy("conv").agg(F.collect_set("m").alias("lengths")), "lengths"))
-    quoted = quoted.select("conv", "turn", "no", "level", "passage", F.explode(F.array_compact(F.array("passage", "run"))).alias("hash"))
-    wanted = broadcast_if_small(staging.keep(quoted.select("conv", "hash").distinct(), "wanted"))
-    units = parsed.select("conv", "turn", F.explode(F.transform(_units(F.col("_body")), hashed)).alias("hash"))
-    filled = parsed.join(lengths, "conv").select("conv", "turn", "lengths", _filled(F.split("_body", "\n")).alias("lines")).where(F.size("lines") > 1)
-    units = units.union(filled.select("conv", "turn", F.explode(F.transform(_runs(F.col("lines"), F.col("lengths")), hashed)).alias("hash")))
-    origins = staging.keep(units.join(wanted, ["conv", "hash"], "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("origin")), "origins")
-    linked = quoted.join(broadcast_if_small(origins), ["conv", "hash"]).where("origin < turn")
-    linked = linked.groupBy("conv", "turn", "no", "level", "passage").agg(F.min("origin").alias("origin"))
-    best = F.max(F.struct((F.col("level") == 1).alias("direct"), F.col("origin").alias("origin")))
-    links = staging.keep(linked.groupBy("conv", "turn").agg(best.alias("b"), F.countDistinct("no", "passage").cast("int").alias("n_linked")).select("conv", "turn", "n_linked", F.col("b.origin").alias("parent")), "links")
-    paths = reply_paths(links, staging).join(links, ["conv", "turn"])
-    paths = staging.keep(paths.select(F.col("conv").alias("_c"), F.col("turn").alias("_t"), "n_linked", F.col("parent").alias("parent_turn"), "path"), "paths")
-
-    rows = parse_messages(df, text_col)
-    met = rows.join(broadcast_if_small(paths), (F.col(conv_col) == F.col("_c")) & (F.col(turn_col) == F.col("_t")), "left")
+    rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.struct(F.lit(0).alias("_"), *others).alias("_others"), F.col(text_col).alias("_text"))
+    parsed = staging.keep(parse_messages(rows), "parsed")
+    placed = parsed.where("conv is not null and turn is not null")
+    runs = staging.keep(_quoted_runs(placed), "runs")
+    origins = find_origins(placed, runs, staging, hot_share)
+    links = staging.keep(link_runs(runs, origins, max(2, runs.count() // hot_share)), "links")
+    threads = reply_threads(links, staging, hot_share)
+    found = staging.keep(links.join(threads, ["conv", "turn"]), "found")
+    staging.drop("runs", "anchors", "said", "origins", "links")
+
     levels = F.transform("_passages", lambda p: p["level"])
-    path = F.coalesce("path", F.array(F.col(turn_col).cast("long")))
-    out = met.select(
-        conv_col,
-        turn_col,
-        *others,
+    out = parsed.join(found, ["conv", "turn"], "left").select(
+        F.col("conv").alias(conv_col),
+        F.col("turn").cast(df.schema[turn_col].dataType).alias(turn_col),
+        *[F.col(f"_others.`{c}`").alias(c) for c in others],
         F.col("_body").alias("body"),
         F.size("_passages").alias("n_quotes"),
         F.coalesce(F.array_max(levels), F.lit(0)).alias("max_level"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+        "parent_conv",
         "parent_turn",
-        (F.size(path) - 1).alias("depth"),
-        path.alias("reply_path"),
+        F.coalesce("thread_conv", "conv").alias("thread_conv"),
+        F.coalesce("thread_turn", "turn").alias("thread_turn"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
     )
-    return out.repartitionByRange(conv_col, "reply_path").sortWithinPartitions(conv_col, "reply_path")
+    order = ["thread_conv", "thread_turn", conv_col, turn_col]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order)
