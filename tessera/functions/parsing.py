@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +43,18 @@ def coordinate(value: Column) -> Column:
 
 
 def replace_first(text: Column, mark: str, by: Column) -> Column:
-    at = F.instr(text, mark)
-    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + len(mark), F.length(text)))).otherwise(text)
+    """``text`` with the first ``mark`` replaced; it names its input once, so nested calls do not multiply."""
+    return F.call_function("array_join", F.split(text, re.escape(mark), 2), by)
+
+
+def vendor_url(layer: str, token: str) -> str:
+    """Address template of a public map service by layer type and token; {s} is the number of the host."""
+    return f"https://t{{s}}.tianditu.gov.cn/DataServer?T={layer}&x={{x}}&y={{y}}&l={{z}}&tk={token}"
+
+
+def is_subway(fclass: Column) -> Column:
+    """Whether a railway is drawn as a subway line."""
+    return F.coalesce(fclass, F.lit("unknown")) == "subway"
 
 
 def xyz_url(template: Column, x: Column, y: Column, zoom: Column, subdomains: list[str]) -> Column:

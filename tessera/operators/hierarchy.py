@@ -76,3 +76,8 @@ def finest_cover(points: DataFrame, tiles: DataFrame, least: int, most: int) ->
     at = at.select("id", "z", T.tile_x(F.col("lng"), F.col("z")).alias("x"), T.tile_y(F.col("lat"), F.col("z")).alias("y"))
     found = at.join(tiles.select("z", "x", "y").distinct(), ["z", "x", "y"], "left_semi").groupBy("id").agg(F.max("z").alias("finest"))
     return points.join(found, "id", "left")
+
+
+def renderable(ready: Column, visible: Column, opacity: Column) -> Column:
+    """Whether a tile is drawn: ready, visible and not almost transparent."""
+    return ready & visible & (opacity > 0.001)

@@ -10,10 +10,10 @@ from tessera.plans.components import connected_components
 from tessera.plans.staging import Staging
 
 
-def load_state(tiles: DataFrame, view: str) -> DataFrame:
-    """Loaded, pending and failed tiles of each view, and whether it is complete."""
+def load_state(tiles: DataFrame, view: str, key: str | None = None) -> DataFrame:
+    """Loaded, pending and failed tiles of each view, and whether it is complete; with ``key`` the sorted list of failed ones."""
     n = lambda s: F.count_if(F.col("state") == s)
-    counted = tiles.groupBy(view).agg(n("loaded").alias("loaded"), F.count_if(F.col("state").isin("pending", "loading")).alias("pending"), n("failed").alias("failed"))
+    counted = tiles.groupBy(view).agg(n("loaded").alias("loaded"), F.count_if(F.col("state").isin("pending", "loading")).alias("pending"), n("failed").alias("failed"), *([F.array_sort(F.collect_list(F.when(F.col("state") == "failed", F.col(key)))).alias("failed_keys")] if key else []))
     return counted.withColumn("complete", (F.col("pending") == 0) & (F.col("failed") == 0))
 
 
@@ -52,8 +52,7 @@ def dominant(df: DataFrame, cell: list[str], value: str) -> DataFrame:
 
 def lod_violations(tiles: DataFrame, view: str, distance: str, zoom: str, key: str) -> DataFrame:
     """The tiles of each view beyond which a farther one is finer by more than one level."""
-    w = Window.partitionBy(view).orderBy(F.col(distance), F.col(key)).rowsBetween(1, Window.unboundedFollowing)
-    return tiles.withColumn("_far", F.max(zoom).over(w)).where(F.col("_far") > F.col(zoom) + 1).drop("_far")
+    return suffix_max(tiles, view, [distance, key], zoom, "_far").where(F.col("_far") > F.col(zoom) + 1).drop("_far")
 
 
 def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, needed: int = 3) -> DataFrame:
@@ -65,18 +64,52 @@ def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, n
     return marked.withColumn("_nth", nth).groupBy(scenario).agg(F.min(F.when(F.col("_q") & (F.col("_nth") >= needed), F.col(order))).alias("settled"))
 
 
-def grid_components(cells: DataFrame) -> DataFrame:
+def suffix_max(df: DataFrame, group: str, order: list[str], value: str, out: str, slots: int = 64) -> DataFrame:
+    """``df`` with the largest ``value`` of the rows of its group that come after it, null for the last.
+
+    Groups may hold most rows: each is cut into ``slots`` ranges of its first order column
+    (numeric, between the group's bounds), a window goes over one range, and the maxima of
+    the later ranges, ``slots`` rows a group, are added.  Null order values come first.
+    """
+    first = F.col(order[0]).cast("double")
+    lo, hi = F.min(first).alias("_lo"), F.max(first).alias("_hi")
+    slot = F.coalesce(F.floor((first - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * slots), F.lit(-1))
+    cut = df.join(df.groupBy(group).agg(lo, hi), group, "left").withColumn("_slot", slot).drop("_lo", "_hi")
+    later = Window.partitionBy(group).orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
+    ahead = cut.groupBy(group, "_slot").agg(F.max(value).alias("_m")).withColumn("_ahead", F.max("_m").over(later)).drop("_m")
+    inside = Window.partitionBy(group, "_slot").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    met = cut.withColumn("_in", F.max(value).over(inside)).join(ahead, [group, "_slot"])
+    return met.withColumn(out, F.greatest("_in", "_ahead")).drop("_slot", "_in", "_ahead")
+
+
+def stuck_gestures(samples: DataFrame, scenario: str, order: str, pose: list[str], near: float = 1e-3) -> DataFrame:
+    """(scenario, stuck): samples during a gesture whose pose is that of the sample before."""
+    w = Window.partitionBy(scenario).orderBy(order)
+    same = F.lit(True)
+    for c in pose:
+        same = same & F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)) < near, F.lit(False))
+    return samples.withColumn("_s", F.col("interacting") & same).groupBy(scenario).agg(F.count_if("_s").alias("stuck"))
+
+
+def grid_components(cells: DataFrame, value: str | None = None) -> DataFrame:
     """Connected components (4 neighbours) of cells (x, y, cls) of one class: their size and bounds.
 
+    With ``value`` also the sum (``total``) and the commonest value (``mode``, ties: the smaller) of
+    that column over each component; cells must then be unique.
+
     Edges come from two equi-joins; labels spread by connected components.
     """
     staging = Staging(cells.sparkSession, "grid")
     key = F.struct("y", "x")
-    base = staging.keep(cells.select("x", "y", "cls").distinct(), "cells")
+    base = staging.keep(cells.select("x", "y", "cls", value) if value else cells.select("x", "y", "cls").distinct(), "cells")
     right = base.select((F.col("x") - 1).alias("x"), "y", F.col("cls").alias("_c"))
     down = base.select("x", (F.col("y") - 1).alias("y"), F.col("cls").alias("_c"))
     edge = lambda other, dx, dy: base.join(other, ["x", "y"]).where("cls = _c").select(F.struct("y", "x").alias("a"), F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x")).alias("b"))
     labels = connected_components(edge(right, 1, 0).union(edge(down, 0, 1)), staging)
     met = base.withColumn("_k", key).join(labels, F.col("_k") == F.col("v"), "left").withColumn("label", F.coalesce("label", "_k"))
     out = met.groupBy("cls", "label").agg(F.count("*").alias("size"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
-    return out.select("cls", "size", "x0", "x1", "y0", "y1")
+    if value:
+        met = staging.keep(met.groupBy("cls", "label", value).agg(F.count("*").alias("n")), "values")
+        modes = met.groupBy("cls", "label").agg(F.sum(F.col(value) * F.col("n")).alias("total"), F.max(F.struct("n", (-F.col(value)).alias("v"))).alias("m"))
+        out = out.join(modes.select("cls", "label", "total", (-F.col("m.v")).alias("mode")), ["cls", "label"])
+    return out.select("cls", "size", "x0", "x1", "y0", "y1", *(["total", "mode"] if value else []))

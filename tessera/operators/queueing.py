@@ -47,3 +47,25 @@ def failure_states(failures: DataFrame) -> DataFrame:
     """(key, attempts, permanent, wait_s) after all failures of a key; 404 and 410 are for ever."""
     states = failures.groupBy("key").agg(F.count("*").alias("attempts"), F.max(F.col("status").isin(404, 410)).alias("permanent"))
     return states.select("key", "attempts", "permanent", F.when(F.col("permanent"), None).otherwise(backoff_seconds(F.col("attempts"))).cast("long").alias("wait_s"))
+
+
+def largest_first(candidates: DataFrame, score: Column, budget: int, key: str = "key") -> DataFrame:
+    """The ``budget`` candidates of the largest score (ties: smaller key), with ``score``."""
+    return candidates.withColumn("score", score).orderBy(F.desc("score"), key).limit(budget)
+
+
+def upgrade_score(pixels: Column, fallback: Column) -> Column:
+    """Size on the screen; a fallback tile must be four times as large to come first."""
+    return F.when(fallback, pixels / 4).otherwise(pixels)
+
+
+def effective_caps(requests: DataFrame, limits: DataFrame, default: int) -> DataFrame:
+    """``requests`` (grp, cap) with ``effective``: the smaller of the request's cap (``default`` if null) and its group's limit (grp, group_cap), if it has one."""
+    own = F.coalesce("cap", F.lit(default))
+    return requests.join(limits, "grp", "left").withColumn("effective", F.least(own, F.coalesce("group_cap", own))).drop("group_cap")
+
+
+def ownerless(owners: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The requests of which no owner (request, owner) is among ``wanted`` (owner): they are cancelled."""
+    met = owners.join(wanted.select("owner").distinct().withColumn("_w", F.lit(1)), "owner", "left")
+    return met.groupBy("request").agg(F.count("_w").alias("active")).where("active = 0").select("request")

@@ -15,12 +15,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str):
-    """Registers a query function under its name with its SQL."""
+def query(sql: str | None):
+    """Registers a query function under its name with its SQL, or None if SQL cannot express it."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql is not None:
+            ORACLES[f.__name__] = sql
         return f
 
     return add

@@ -122,26 +122,26 @@ def fully_covered_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.fully_covered(tiles(spark, sf_dir, 5), 1)
 
 
-@query(f"""WITH l5 AS (SELECT * FROM {TL(5, 2, 0)}), b5 AS (SELECT x, y, (x + y) % 9 <> 0 AS ok FROM l5),
+@query(f"""WITH l5 AS (SELECT * FROM {TL(5)}), b5 AS (SELECT x, y, (x + y) % 9 <> 0 AS ok FROM l5),
 l4 AS (SELECT (x >> 1)::BIGINT AS x, (y >> 1)::BIGINT AS y FROM b5 WHERE ok GROUP BY ALL HAVING count(*) = 4),
 l3 AS (SELECT (x >> 1)::BIGINT AS x, (y >> 1)::BIGINT AS y FROM l4 GROUP BY ALL HAVING count(*) = 4)
 SELECT 5 AS z, x, y FROM b5 WHERE ok UNION ALL SELECT 4, x, y FROM l4 UNION ALL SELECT 3, x, y FROM l3
 UNION ALL SELECT 2, (x >> 1)::BIGINT, (y >> 1)::BIGINT FROM l3 GROUP BY ALL HAVING count(*) = 4""")
 def quadrant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tiles(spark, sf_dir, 5, 2, 0).withColumn("renderable", (F.col("x") + F.col("y")) % 9 != 0)
+    t = tiles(spark, sf_dir, 5).withColumn("renderable", (F.col("x") + F.col("y")) % 9 != 0)
     return Y.quadrant_coverage(t, 3)
 
 
 _GB = ("x / 64.0 * 360 - 180", "y / 32.0 * 180 - 90", "(x + 1) / 64.0 * 360 - 180", "(y + 1) / 32.0 * 180 - 90")
 
 
-@query(f"""WITH g AS (SELECT DISTINCT {s_gx('lng', 5)} AS x, {s_gy('lat', 5, 'south')} AS y FROM {P} WHERE event_id % 4 = 0),
+@query(f"""WITH g AS (SELECT DISTINCT {s_gx('lng', 5)} AS x, {s_gy('lat', 5, 'south')} AS y FROM {P}),
 b AS (SELECT x, y, {_GB[0]} + 1e-9 AS w, greatest({_GB[1]} + 1e-9, -85.0) AS s, {_GB[2]} - 1e-9 AS e, least({_GB[3]} - 1e-9, 85.0) AS n FROM g),
 r AS (SELECT x, y, {s_tx('w', 6)} AS x0, {s_tx('e', 6)} AS x1, {s_ty('n', 6)} AS y0, {s_ty('s', 6)} AS y1 FROM b WHERE s < n)
 SELECT x, y, tx, ty FROM r, LATERAL (SELECT unnest(range(x0, x1 + 1)) AS tx), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS ty)""")
 def imagery_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.lit(5)
-    g = points(spark, sf_dir).where("event_id % 4 = 0").select(T.geo_x(F.col("lng"), z).alias("gx"), T.geo_y(F.col("lat"), z, "south").alias("gy")).distinct()
+    g = points(spark, sf_dir).select(T.geo_x(F.col("lng"), z).alias("gx"), T.geo_y(F.col("lat"), z, "south").alias("gy")).distinct()
     w, s, e, n = T.geo_bounds(F.col("gx"), F.col("gy"), z, "south")
     g = g.select("gx", "gy", (w + 1e-9).alias("w"), F.greatest(s + 1e-9, F.lit(-85.0)).alias("s"), (e - 1e-9).alias("e"), F.least(n - 1e-9, F.lit(85.0)).alias("n")).where("s < n")
     return Y.cover(g, "w", "s", "e", "n", F.lit(6)).select(F.col("gx").alias("x"), F.col("gy").alias("y"), F.col("x").alias("tx"), F.col("y").alias("ty"))
@@ -157,18 +157,18 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _nearest_sql(levels: int, proper: bool) -> str:
     least = "h.z < t.z" if proper else "h.z <= t.z"
-    return f"""SELECT t.z::INTEGER AS z, t.x, t.y, arg_max(h.v, h.z)::BIGINT AS v, max(h.z)::INTEGER AS from_z FROM {TL(8, 3, 0)} t
+    return f"""SELECT t.z::INTEGER AS z, t.x, t.y, arg_max(h.v, h.z)::BIGINT AS v, max(h.z)::INTEGER AS from_z FROM {TL(8)} t
 LEFT JOIN {_HELD} h ON {least} AND h.z >= t.z - {levels} AND (t.x >> (t.z - h.z)::INTEGER) = h.x AND (t.y >> (t.z - h.z)::INTEGER) = h.y GROUP BY t.z, t.x, t.y"""
 
 
 @query(_nearest_sql(4, True))
 def fallback_slot_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.nearest_ancestor(tiles(spark, sf_dir, 8, 3, 0), _held(spark, sf_dir), "v", levels=4, proper=True)
+    return H.nearest_ancestor(tiles(spark, sf_dir, 8), _held(spark, sf_dir), "v", levels=4, proper=True)
 
 
 @query(f"SELECT z, x, y, coalesce(v, 0)::BIGINT AS height FROM ({_nearest_sql(24, False)})")
 def surface_height_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = H.nearest_ancestor(tiles(spark, sf_dir, 8, 3, 0), _held(spark, sf_dir), "v")
+    found = H.nearest_ancestor(tiles(spark, sf_dir, 8), _held(spark, sf_dir), "v")
     return found.select("z", "x", "y", F.coalesce("v", F.lit(0)).cast("long").alias("height"))
 
 
@@ -211,9 +211,9 @@ def prefetch_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.prefetch(tiles(spark, sf_dir, 6), tiles(spark, sf_dir, 7, 3, 0), availability(spark, sf_dir), 16)
 
 
-@query(f"SELECT DISTINCT 6 AS z, (x >> 1)::BIGINT AS x, (y >> 1)::BIGINT AS y FROM {TL(7, 2, 0)}")
+@query(f"SELECT DISTINCT 6 AS z, (x >> 1)::BIGINT AS x, (y >> 1)::BIGINT AS y FROM {TL(7)}")
 def fallback_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Y.ancestors(tiles(spark, sf_dir, 7, 2, 0), 6).select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    return Y.ancestors(tiles(spark, sf_dir, 7), 6).select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
 
 
 @query(f"SELECT z::INTEGER AS z, x, y FROM (SELECT z, x, y FROM {TL(6, 2, 0)} UNION SELECT z, x, y FROM {TL(6, 5, 1)}) EXCEPT SELECT z, x, y FROM {TL(6, 3, 0)}")

@@ -122,13 +122,13 @@ def high_water_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- metrics
 
-_ST = "(SELECT event_id, user_id % 40 AS view, ['loaded', 'loaded', 'pending', 'failed', 'loaded', 'loading'][(event_id * 31 % 6 + 1)::INTEGER] AS state, (event_id % 9)::INTEGER AS z, (event_id * 7907 % 100000)::BIGINT AS far, event_id % 3 = 0 AS backup FROM events WHERE user_id % 5 <> 0 OR event_id * 31 % 6 < 2)"
+_ST = "(SELECT event_id, user_id % 40 AS view, CASE WHEN user_id % 5 = 0 THEN 'loaded' ELSE ['loaded', 'loaded', 'pending', 'failed', 'loaded', 'loading'][(event_id * 31 % 6 + 1)::INTEGER] END AS state, (event_id % 9)::INTEGER AS z, (event_id * 7907 % 100000)::BIGINT AS far, event_id % 3 = 0 AS backup FROM events)"
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id % 5 <> 0 or event_id * 31 % 6 < 2")
+    e = table(spark, sf_dir, "events")
     names = F.array(*map(F.lit, ("loaded", "loaded", "pending", "failed", "loaded", "loading")))
-    return e.select("event_id", (F.col("user_id") % 40).alias("view"), F.element_at(names, (F.col("event_id") * 31 % 6 + 1).cast("int")).alias("state"), (F.col("event_id") % 9).cast("int").alias("z"), (F.col("event_id") * 7907 % 100000).alias("far"), (F.col("event_id") % 3 == 0).alias("backup"))
+    return e.select("event_id", (F.col("user_id") % 40).alias("view"), F.when(F.col("user_id") % 5 == 0, "loaded").otherwise(F.element_at(names, (F.col("event_id") * 31 % 6 + 1).cast("int"))).alias("state"), (F.col("event_id") % 9).cast("int").alias("z"), (F.col("event_id") * 7907 % 100000).alias("far"), (F.col("event_id") % 3 == 0).alias("backup"))
 
 
 @query(f"SELECT z, count(*) FILTER (WHERE NOT backup)::BIGINT AS visible, count(*) FILTER (WHERE backup)::BIGINT AS backups, count(*) FILTER (WHERE state = 'loaded')::BIGINT AS drawn, min(far)::BIGINT AS nearest FROM {_ST} GROUP BY z")
@@ -137,9 +137,9 @@ def zoom_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT view, count(*) FILTER (WHERE state = 'loaded')::BIGINT AS loaded, count(*) FILTER (WHERE state IN ('pending', 'loading'))::BIGINT AS pending, count(*) FILTER (WHERE state = 'failed')::BIGINT AS failed,
-count(*) FILTER (WHERE state <> 'loaded') = 0 AS complete FROM {_ST} GROUP BY view""")
+count(*) FILTER (WHERE state <> 'loaded') = 0 AS complete, coalesce(array_to_string(list_sort(list(event_id) FILTER (WHERE state = 'failed')), ','), '') AS failed_keys FROM {_ST} GROUP BY view""")
 def load_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.load_state(_states(spark, sf_dir), "view")
+    return M.load_state(_states(spark, sf_dir), "view", "event_id").withColumn("failed_keys", F.array_join("failed_keys", ","))
 
 
 _SM = "(SELECT event_id AS seq, 's' || (user_id % 12) AS scenario, (event_id * 17 % 101)::BIGINT AS blur, (event_id * 29 % 53)::BIGINT AS gaps FROM events)"
