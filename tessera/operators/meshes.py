@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.plans.staging import Staging
 
 #: Twice the area of a triangle that counts as none.
 FLAT = 1e-14
@@ -103,7 +105,57 @@ def _area2(r: np.ndarray) -> float:
 
 
 def triangulate(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Points and triangles of a polygon with holes by cutting ears; holes are joined to the outer ring by bridges first."""
+    """Points and triangles of a polygon with holes, whose areas add up to the polygon's.
+
+    Ears are cut after holes are joined to the outer ring by bridges; where that
+    does not give the whole area (bridges along aligned holes), the polygon is cut into
+    trapezoids.  A polygon that neither covers (rings that cross) raises ValueError.
+    """
+    if len(rings) == 1 and _is_convex(rings[0]):
+        pts = rings[0] if _area2(rings[0]) > 0 else rings[0][::-1]
+        return pts, np.array([(0, k, k + 1) for k in range(1, len(pts) - 1)]).ravel()
+    want = abs(_area2(rings[0])) - sum(abs(_area2(h)) for h in rings[1:])
+    for cut in (_ears, _trapezoids):
+        pts, tri = cut(rings)
+        a, b, c = pts[tri.reshape(-1, 3)].transpose(1, 0, 2)
+        have = ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]).sum() if len(tri) else 0.0
+        if abs(have - want) <= 1e-6 * max(abs(want), 1e-9):
+            return pts, tri
+    raise ValueError("the rings of a polygon cross")
+
+
+def _is_convex(ring: np.ndarray) -> bool:
+    """Whether a ring turns to one side only, by a full turn in all."""
+    a = np.roll(ring, -1, axis=0) - ring
+    b = np.roll(a, -1, axis=0)
+    turn = np.arctan2(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0], (a * b).sum(1))
+    return bool((turn > 1e-9).all() or (turn < -1e-9).all()) and abs(abs(turn.sum()) - 2 * math.pi) < 1e-6
+
+
+def _trapezoids(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles of the trapezoids between neighbouring x of all vertices; inside is what an odd number of edges lies below."""
+    a = np.concatenate(rings)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    xs = np.unique(a[:, 0])
+    points: list[tuple[float, float]] = []
+    out: list[int] = []
+    for x0, x1 in zip(xs, xs[1:], strict=False):
+        over = (np.minimum(a[:, 0], b[:, 0]) <= x0) & (np.maximum(a[:, 0], b[:, 0]) >= x1)
+        p, q = a[over], b[over]
+        slope = (q[:, 1] - p[:, 1]) / (q[:, 0] - p[:, 0])
+        y0, y1 = p[:, 1] + slope * (x0 - p[:, 0]), p[:, 1] + slope * (x1 - p[:, 0])
+        order = np.argsort(y0 + y1, kind="stable")
+        for low, high in zip(order[::2], order[1::2], strict=False):
+            corners = [(x0, y0[low]), (x1, y1[low]), (x1, y1[high]), (x0, y0[high])]
+            for tri in ((0, 1, 2), (0, 2, 3)):
+                if _cross(*(corners[k] for k in tri)) > FLAT:
+                    out += [len(points) + k for k in range(3)]
+                    points += [corners[k] for k in tri]
+    return np.array(points).reshape(-1, 2), np.array(out, int)
+
+
+def _ears(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Triangles by cutting ears, as far as it goes; holes are joined to the outer ring by bridges first."""
     outer = rings[0] if _area2(rings[0]) > 0 else rings[0][::-1]
     points = [tuple(p) for p in outer]
     for hole in sorted((h if _area2(h) < 0 else h[::-1] for h in rings[1:]), key=lambda h: -h[:, 0].max()):
@@ -219,40 +271,62 @@ def unwrap_b3dm(data: bytes) -> bytes:
     return data[28 + sum(struct.unpack_from("<4I", data, 12)) :]
 
 
-def cell_meshes(parts: DataFrame) -> DataFrame:
-    """One binary glTF per cell of building parts (col, row, id, rings, base, height): shuffled by part, merged by cell.
+def part_meshes(parts: DataFrame) -> DataFrame:
+    """The mesh of each building part (col, row, id, rings, base, height), where the part lies: a narrow pass.
+
+    Columns: col, row, id, vertices, triangles, and positions, normals (64-bit floats) and indices (64-bit) as bytes, shade.
+    """
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            made = [extrude([np.array([(q["x"], q["y"]) for q in r], float) for r in rings], base, height) for rings, base, height in zip(g["rings"], g["base"], g["height"], strict=True)]
+            columns = {k: [m[i].tobytes() for m in made] for i, k in enumerate(("positions", "normals", "indices"))}
+            shade = g["height"].add(90).clip(90, 220).astype(int)
+            yield pd.DataFrame({"col": g["col"], "row": g["row"], "id": g["id"], "vertices": [len(m[0]) for m in made], "triangles": [len(m[2]) // 3 for m in made], **columns, "shade": shade})
+
+    return parts.mapInPandas(build, "col long, row long, id long, vertices long, triangles long, positions binary, normals binary, indices binary, shade int")
+
+
+def cell_meshes(parts: DataFrame, most_vertices: int = 60_000) -> DataFrame:
+    """Binary glTFs of the cells of building parts (col, row, id, rings, base, height).
 
-    Every part is meshed where it lies; a cell's mesh is one file, so a cell is
-    one group by the nature of the format.  Columns: col, row, parts,
-    vertices, triangles, glb.
+    Parts are meshed where they lie; a cell is cut into pieces of about ``most_vertices`` by a
+    hash of the part's id, and the meshes of a piece are merged into one file, so no group grows
+    with a cell.  Columns: col, row, piece, parts, vertices, triangles, glb.
     """
+    meshes = Staging(parts.sparkSession, "meshes").keep(part_meshes(parts), "parts")
+    # One row for each cell of the grid, 64 x 64 at most.
+    cells = meshes.groupBy("col", "row").agg(F.ceil(F.sum("vertices") / most_vertices).alias("_pieces"))
+    dealt = meshes.join(cells, ["col", "row"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("_pieces"))).drop("_pieces")
 
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        p, n, t, c, at = [], [], [], [], 0
-        for rings, base, height in zip(g["rings"], g["base"], g["height"], strict=True):
-            pos, nor, tri = extrude([np.array([(q["x"], q["y"]) for q in r], float) for r in rings], base, height)
-            p.append(pos)
-            n.append(nor)
-            t.append(tri + at)
-            shade = int(min(max(90 + height, 90), 220))
-            c.append(np.tile(np.array([shade, shade, shade, 255], np.uint8), (len(pos), 1)))
-            at += len(pos)
-        glb = write_glb(np.concatenate(p), np.concatenate(n), np.concatenate(c), np.concatenate(t))
-        return pd.DataFrame({"col": [g["col"].iloc[0]], "row": [g["row"].iloc[0]], "parts": [len(g)], "vertices": [at], "triangles": [sum(len(x) for x in t) // 3], "glb": [glb]})
+    def merge(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        before = g["vertices"].cumsum() - g["vertices"]
+        join = lambda c, kind: [np.frombuffer(x, kind) for x in g[c]]
+        p, n = (np.concatenate(join(c, np.float64)).reshape(-1, 3) for c in ("positions", "normals"))
+        t = np.concatenate([x + at for x, at in zip(join("indices", np.int64), before, strict=True)])
+        c = np.repeat(np.array([[k, k, k, 255] for k in g["shade"]], np.uint8), g["vertices"], axis=0)
+        first = g.iloc[0]
+        return pd.DataFrame({"col": [first["col"]], "row": [first["row"]], "piece": [first["piece"]], "parts": [len(g)], "vertices": [len(p)], "triangles": [len(t) // 3], "glb": [write_glb(p, n, c, t)]})
 
-    return parts.groupBy("col", "row").applyInPandas(build, "col long, row long, parts long, vertices long, triangles long, glb binary")
+    return dealt.groupBy("col", "row", "piece").applyInPandas(merge, "col long, row long, piece long, parts long, vertices long, triangles long, glb binary")
 
 
 def write_files(df: DataFrame, folder: str, name_col: str, data_col: str) -> None:
-    """Each row's bytes as a file in a folder that the executors can write."""
+    """Each row's bytes as a file in a folder, a path or an address of a file system that Arrow knows (file, hdfs, s3, gs).
+
+    On a cluster the folder must be one that all executors share.  A file appears under its name when it is whole.
+    """
 
     def put(rows: Iterator) -> None:
-        from pathlib import Path
+        from pyarrow import fs
 
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
         for r in rows:
-            part = Path(folder, f".{r[name_col]}.part")
-            part.write_bytes(bytes(r[data_col]))
-            part.rename(Path(folder, r[name_col]))
+            part = f"{root}/.{r[name_col]}.part"
+            with system.open_output_stream(part) as out:
+                out.write(bytes(r[data_col]))
+            system.move(part, f"{root}/{r[name_col]}")
 
     df.select(name_col, data_col).foreachPartition(put)

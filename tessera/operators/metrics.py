@@ -64,17 +64,24 @@ def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, n
     return marked.withColumn("_nth", nth).groupBy(scenario).agg(F.min(F.when(F.col("_q") & (F.col("_nth") >= needed), F.col(order))).alias("settled"))
 
 
+def in_slots(df: DataFrame, group: str, order: Column, slots: int) -> DataFrame:
+    """``df`` with ``_slot``: the range of its group's values of ``order`` that a row lies in, of ``slots`` equal ones; -1 for null.
+
+    Groups may hold most rows: windows over (group, slot) and sums of slots replace one over the group.
+    """
+    value = order.cast("double")
+    ends = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    slot = F.coalesce(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * slots), F.lit(-1))
+    return df.join(ends, group, "left").withColumn("_slot", slot).drop("_lo", "_hi")
+
+
 def suffix_max(df: DataFrame, group: str, order: list[str], value: str, out: str, slots: int = 64) -> DataFrame:
     """``df`` with the largest ``value`` of the rows of its group that come after it, null for the last.
 
-    Groups may hold most rows: each is cut into ``slots`` ranges of its first order column
-    (numeric, between the group's bounds), a window goes over one range, and the maxima of
-    the later ranges, ``slots`` rows a group, are added.  Null order values come first.
+    The first order column is numeric; its nulls come first.  A window goes over one slot of a
+    group, and the maxima of the later slots are added.
     """
-    first = F.col(order[0]).cast("double")
-    lo, hi = F.min(first).alias("_lo"), F.max(first).alias("_hi")
-    slot = F.coalesce(F.floor((first - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * slots), F.lit(-1))
-    cut = df.join(df.groupBy(group).agg(lo, hi), group, "left").withColumn("_slot", slot).drop("_lo", "_hi")
+    cut = in_slots(df, group, F.col(order[0]), slots)
     later = Window.partitionBy(group).orderBy("_slot").rowsBetween(1, Window.unboundedFollowing)
     ahead = cut.groupBy(group, "_slot").agg(F.max(value).alias("_m")).withColumn("_ahead", F.max("_m").over(later)).drop("_m")
     inside = Window.partitionBy(group, "_slot").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
@@ -82,6 +89,17 @@ def suffix_max(df: DataFrame, group: str, order: list[str], value: str, out: str
     return met.withColumn(out, F.greatest("_in", "_ahead")).drop("_slot", "_in", "_ahead")
 
 
+def sum_before(df: DataFrame, group: str, order: list[str], value: str, out: str, whole: str, slots: int = 64) -> DataFrame:
+    """``df`` with the sum of ``value`` of the rows of its group that come before it (0 for the first) and that of all; as ``suffix_max``."""
+    cut = in_slots(df, group, F.col(order[0]), slots)
+    earlier = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(group, "_slot").agg(F.sum(value).alias("_s"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).withColumn("_whole", F.sum("_s").over(Window.partitionBy(group))).drop("_s")
+    inside = Window.partitionBy(group, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [group, "_slot"])
+    return met.withColumns({out: F.col("_in") + F.col("_before"), whole: F.col("_whole")}).drop("_slot", "_in", "_before", "_whole")
+
+
 def stuck_gestures(samples: DataFrame, scenario: str, order: str, pose: list[str], near: float = 1e-3) -> DataFrame:
     """(scenario, stuck): samples during a gesture whose pose is that of the sample before."""
     w = Window.partitionBy(scenario).orderBy(order)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.lod import backoff_seconds
+from tessera.operators.metrics import sum_before
+from tessera.plans.joins import broadcast_if_small
+from tessera.plans.staging import Staging
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], cap: int) -> DataFrame:
@@ -29,18 +32,21 @@ def bounded_queue(requests: DataFrame, size: int) -> DataFrame:
 
 
 def lru_evicted(held: DataFrame, cache: str, keep: int) -> DataFrame:
-    """The entries of each cache beyond its ``keep`` most recently used."""
-    w = Window.partitionBy(cache).orderBy(F.desc("last_access"), F.desc("key"))
-    return held.withColumn("recency", F.row_number().over(w)).where(F.col("recency") > keep)
+    """The entries of each cache (keys unique in it) beyond its ``keep`` most recently used.
+
+    What is kept is found with a limit under the window; its oldest entry, one row a cache, parts the rest from it.
+    """
+    kept = top_per_group(held.select(cache, "last_access", "key"), cache, [F.desc("last_access"), F.desc("key")], keep)
+    oldest = kept.groupBy(cache).agg(F.min(F.struct("last_access", "key")).alias("_oldest"))
+    oldest = broadcast_if_small(Staging(held.sparkSession, "lru").keep(oldest, "oldest"))
+    return held.join(oldest, cache).where(F.struct("last_access", "key") < F.col("_oldest")).drop("_oldest")
 
 
 def lru_trim(held: DataFrame, cache: str, budget: str, share: float = 0.8) -> DataFrame:
-    """The entries to delete, oldest first, until each cache that is over its budget has ``share`` of it at most."""
-    w = Window.partitionBy(cache).orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("bytes").over(Window.partitionBy(cache))
-    freed = F.coalesce(F.sum("bytes").over(w), F.lit(0))
+    """The entries to delete, oldest first, until each cache that is over its budget has ``share`` of it at most; ``last_access`` is numeric."""
     target = F.floor(F.col(budget) * share)
-    return held.withColumns({"total": total, "freed": freed}).where((F.col("total") > F.col(budget)) & (F.col("total") - F.col("freed") > target))
+    summed = sum_before(held, cache, ["last_access", "key"], "bytes", "freed", "total")
+    return summed.where((F.col("total") > F.col(budget)) & (F.col("total") - F.col("freed") > target))
 
 
 def failure_states(failures: DataFrame) -> DataFrame:

@@ -76,7 +76,10 @@ def clone(nodes: DataFrame, root: int, first_id: int) -> DataFrame:
 
 
 def scene_rows(df: DataFrame, json_col: str, levels: int = 12) -> DataFrame:
-    """Nodes (id, parent, ordinal, name, type, show) of scene documents, down to ``levels`` levels; unknown types are kept."""
+    """Nodes (id, parent, ordinal, name, type, show) of scene documents; unknown types are kept.
+
+    Documents with more than ``levels`` levels raise an error: ask for more.
+    """
     kind = "struct<id:bigint,name:string,type:string,show:boolean,children:array<string>>"
     rows = df.select(F.explode(F.from_json(F.col(json_col), "array<string>")).alias("n")).select(F.lit(None).cast("bigint").alias("parent"), "n", F.lit(0).cast("long").alias("ordinal"))
     out = None
@@ -85,7 +88,9 @@ def scene_rows(df: DataFrame, json_col: str, levels: int = 12) -> DataFrame:
         here = parsed.select("s.id", "parent", "ordinal", "s.name", "s.type", "s.show")
         out = here if out is None else out.unionByName(here)
         rows = parsed.select(F.col("s.id").alias("parent"), F.posexplode("s.children").alias("ordinal", "n")).select("parent", "n", F.col("ordinal").cast("long").alias("ordinal"))
-    return out
+    deeper = F.raise_error(F.lit(f"a scene has more than {levels} levels"))
+    kinds = {f.name: f.dataType for f in out.schema.fields}
+    return out.unionByName(rows.select(*[(deeper if c == "id" else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]))
 
 
 def scene_json(nodes: DataFrame, depth: int) -> DataFrame:

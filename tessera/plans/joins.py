@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of at most so many narrow rows is broadcast; beyond it the join shuffles.
+#: A side of at most so many rows and so many bytes is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is.
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows of ``size`` bytes in all, else as it is.
 
-    Call it with a staged frame of narrow rows, whose count the Parquet footers have.
+    Call it with a staged frame, whose count the Parquet footers have.  Fixed-width columns take
+    the size of their types; strings, binaries and arrays are measured, in one aggregate over the few rows.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    n = df.count()
+    if n > rows:
+        return df
+    fields = df.schema.fields
+    wide = [f for f in fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    width = 8 * (len(fields) - len(wide))
+    if wide:
+        text = lambda f: F.octet_length(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`"))))
+        total = df.agg(F.sum(sum((F.coalesce(text(f), F.lit(0)) for f in wide), F.lit(0)).cast("long"))).first()[0] or 0
+    else:
+        total = 0
+    return F.broadcast(df) if n * width + total <= size else df
 
 
 def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int, spread: Column) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import parsing as G
 from tessera.operators import conversion as K
+from tessera.operators import meshes as N
 from tessera.operators import triangles as R
 from tessera.operators import vectors as W
 from tessera.queries.base import P, points, query, s_scaled, scaled, table
 from tessera.queries.vector import _NUM, B, buildings
+from tessera.sources.tileset import tileset_json
 
 # Each order is a box: corners 0 to 3 below, 4 to 7 above; twelve triangles, and a ninth vertex in none.
 _SIDE = "(id % 5 + 1)"
@@ -104,3 +106,46 @@ def ring_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = buildings(spark, sf_dir).select("id", G.building_height(F.col("height"), 3.0).alias("height"))
     return K.with_colours(b, "id", "height").select("id", "wall", "roof")
+
+
+# ---- cells of a grid as files and as a tileset
+
+_CELLS = "(SELECT o_orderkey % 8 AS col, o_orderkey // 8 % 8 AS row, o_orderkey AS id, o_orderkey % 5 + 1 AS side, o_orderkey % 30 + 3 AS height FROM orders)"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 8).alias("col"), (F.floor(F.col("o_orderkey") / 8) % 8).alias("row"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5 + 1).cast("double").alias("side"), (F.col("o_orderkey") % 30 + 3).cast("double").alias("height"))
+    corner = lambda x, y: F.struct((F.col("side") * x).alias("x"), (F.col("side") * y).alias("y"))
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    return o.select("col", "row", "id", F.array(ring).alias("rings"), F.lit(0.2).alias("base"), "height", "side")
+
+
+@query(f"SELECT col, row, count(*)::BIGINT AS parts, 20 * count(*)::BIGINT AS vertices, 10 * count(*)::BIGINT AS triangles FROM {_CELLS} GROUP BY col, row")
+def cell_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = N.cell_meshes(_parts(spark, sf_dir).drop("side"))
+    return made.groupBy("col", "row").agg(*[F.sum(c).alias(c) for c in ("parts", "vertices", "triangles")])
+
+
+@query(f"""WITH c AS (SELECT col, row, count(*) AS parts, col * 100.0 AS x0, row * 100.0 AS y0, col * 100.0 + max(side) AS x1, row * 100.0 + max(side) AS y1, 0.2 + max(height) AS z1 FROM {_CELLS} GROUP BY col, row)
+SELECT 'REPLACE' AS refine, {s_scaled('sqrt(pow(max(x1) - min(x0), 2) + pow(max(y1) - min(y0), 2))', 100)} AS error, count(*)::BIGINT AS tiles, sum(parts)::BIGINT AS parts, {s_scaled('greatest(abs(min(x0)), abs(max(x1)))', 100)} AS half_x, {s_scaled('(0.2 + max(z1)) / 2', 100)} AS mid_z FROM c""")
+def tileset_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _parts(spark, sf_dir).groupBy("col", "row").agg(F.count("*").alias("parts"), F.max("side").alias("s"), F.max("height").alias("h"))
+    x, y = F.col("col") * 100.0, F.col("row") * 100.0
+    c = c.select("col", "row", F.concat_ws("_", F.lit("tile"), "col", "row").alias("name"), x.alias("x0"), y.alias("y0"), F.lit(0.2).alias("z0"), (x + F.col("s")).alias("x1"), (y + F.col("s")).alias("y1"), (F.col("h") + 0.2).alias("z1"), "parts", (F.col("parts") * 20).alias("vertices"), (F.col("parts") * 10).alias("triangles"))
+    at = lambda path: F.get_json_object("tileset", path)
+    return tileset_json(c, 118.1, 24.48).select(at("$.root.refine").alias("refine"), scaled(at("$.root.geometricError").cast("double"), 100).alias("error"), at("$.extras.tileCount").cast("long").alias("tiles"), at("$.extras.buildingParts").cast("long").alias("parts"), scaled(at("$.root.boundingVolume.box[3]").cast("double"), 100).alias("half_x"), scaled(at("$.root.boundingVolume.box[2]").cast("double"), 100).alias("mid_z"))
+
+
+# Customers in chains of various steps.
+_EDGES = "(SELECT c_custkey AS a, c_custkey + CASE WHEN c_custkey % 10 < 5 THEN 5 ELSE 13 END AS b FROM customer WHERE c_custkey % 4 <> 0)"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r(v, t) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t)
+SELECT v, min(t) AS label FROM r GROUP BY v""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.plans.components import connected_components as components
+    from tessera.plans.staging import Staging
+
+    k = F.col("c_custkey")
+    edges = table(spark, sf_dir, "customer").where(k % 4 != 0).select(k.alias("a"), (k + F.when(k % 10 < 5, 5).otherwise(13)).alias("b"))
+    return components(edges, Staging(spark, "components-query"))

@@ -48,7 +48,10 @@ def lines(df: DataFrame) -> DataFrame:
 
 
 def polygons(df: DataFrame, depth: int = 4) -> DataFrame:
-    """One row per polygon, of collections too down to ``depth``; ``rings`` is an array of arrays of (x, y), outer first.  Other types give nothing."""
+    """One row per polygon, of collections too; ``rings`` is an array of arrays of (x, y), outer first.
+
+    Other types give nothing.  Collections nested deeper than ``depth`` raise an error: ask for more.
+    """
     rest = [c for c in df.columns if c not in ("type", "coordinates", "geometries")]
     here, out = df.select(*rest, "type", "coordinates", "geometries"), None
     for level in range(depth + 1):
@@ -61,4 +64,5 @@ def polygons(df: DataFrame, depth: int = 4) -> DataFrame:
         if level < depth:
             inner = here.where(F.col("type") == "GeometryCollection").select(*rest, F.explode(F.from_json("geometries", "array<struct<type:string,coordinates:string,geometries:string>>")).alias("g"))
             here = inner.select(*rest, "g.type", "g.coordinates", "g.geometries")
-    return out
+    deeper = here.where(F.col("type") == "GeometryCollection").select(*rest, F.raise_error(F.lit(f"collections are nested deeper than {depth}")).cast(out.schema["rings"].dataType).alias("rings"))
+    return out.unionByName(deeper)

@@ -89,6 +89,14 @@ def test_triangulation_keeps_area():
     hole = np.array([(2, 2), (4, 2), (4, 4), (2, 4)], float)
     other = np.array([(6, 6), (8, 6), (8, 8), (6, 8)], float)
     concave = np.array([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)], float)
+    crossed = [np.array([(0, 0), (2, 2), (2, 0), (0, 3)], float)]
+    with pytest.raises(ValueError):
+        M.triangulate(crossed)
+    rng = np.random.default_rng(3)
+    for _ in range(150):  # aligned holes too
+        cells = rng.permutation(16)[: rng.integers(0, 7)]
+        holes = [np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float) + [1 + 2 * (c % 4), 1 + 2 * (c // 4)] for c in cells]
+        assert area(*M.triangulate([square, *holes])).sum() == pytest.approx(100 - len(holes))
     for rings, want in (([square], 100), ([square[::-1], hole], 96), ([square, hole[::-1], other], 92), ([concave], 10)):
         parts = area(*M.triangulate(rings))
         assert (parts > 0).all() and parts.sum() == pytest.approx(want)
@@ -111,9 +119,22 @@ def test_cells_to_glb_and_tileset(spark, tmp_path):
     named = cells.selectExpr("concat(col, '_', row, '.glb') name", "glb")
     M.write_files(named, str(tmp_path), "name", "glb")
     assert (tmp_path / "1_0.glb").read_bytes() == glb
-    boxes = spark.createDataFrame([("a.glb", 0.0, 0.0, 0.0, 3.0, 4.0, 0.0), ("b.glb", 3.0, 0.0, 0.0, 3.0, 4.0, 12.0)], "name string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
-    doc = json.loads(tileset.tileset_json(boxes))
-    assert doc["geometricError"] == 13 and [c["content"]["uri"] for c in doc["root"]["children"]] == ["a.glb", "b.glb"]
+    assert M.cell_meshes(parts, most_vertices=20).where("col = 0 and row = 0").selectExpr("sum(parts) p", "sum(vertices) v").first()[:] == (2, 40)
+
+
+def test_tileset_document(spark):
+    boxes = spark.createDataFrame([(0, 1, "b.glb", 3.0, 0.0, 0.0, 3.0, 4.0, 12.0, 2, 7, 5), (0, 0, "a.glb", 0.0, 0.0, 0.0, 3.0, 4.0, 0.0, 1, 7, 5)], "col int, row int, name string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, parts int, vertices int, triangles int")
+    doc = json.loads(tileset.tileset_json(boxes, 118.1, 24.48).first()[0])
+    root = doc["root"]
+    assert doc["geometricError"] == root["geometricError"] == 5 and root["refine"] == "REPLACE"
+    assert root["boundingVolume"]["box"] == [0, 0, 6, 3, 0, 0, 0, 4, 0, 0, 0, 6]
+    assert [c["content"]["uri"] for c in root["children"]] == ["a.glb", "b.glb"] and root["children"][1]["extras"] == {"grid": [0, 1], "buildingParts": 2, "vertices": 7, "triangles": 5}
+    assert root["children"][0]["boundingVolume"]["box"] == [1.5, 2, 0, 1.5, 0, 0, 0, 2, 0, 0, 0, 0.01]
+    m = root["transform"]
+    assert np.linalg.norm(m[12:15]) == pytest.approx(6374400, abs=2000) and np.dot(m[0:3], m[4:7]) == pytest.approx(0, abs=1e-12) and m[15] == 1
+    assert doc["extras"] == {"centerWgs84": [118.1, 24.48, 0.0], "buildingParts": 3, "tileCount": 2}
+    with pytest.raises(ValueError):
+        tileset.tileset_json(boxes.limit(0), 0.0, 0.0)
 
 
 TREE = {
@@ -132,7 +153,7 @@ def test_tileset_nodes_and_traversal(spark):
     tree = tileset.nodes(docs, "n", "j")
     rows = {r["node"]: r for r in tree.collect()}
     assert set(rows) == {"0", "0/0", "0/1", "0/0/0"} and rows["0/0"]["x"] == -40 and rows["0/0/0"]["radius"] == 7 and rows["0/0/0"]["refine"] == "ADD"
-    cams = spark.createDataFrame([("far", 1e6, 0.0, 0.0, 900.0, 60.0), ("near", 0.0, 0.0, 300.0, 900.0, 60.0)], "camera string, cx double, cy double, cz double, height double, fov double")
+    cams = spark.createDataFrame([("far", "t", 1e6, 0.0, 0.0, 900.0, 60.0), ("near", "t", 0.0, 0.0, 300.0, 900.0, 60.0)], "camera string, tileset string, cx double, cy double, cz double, height double, fov double")
     shown = {(r["camera"], r["node"]) for r in tileset.traverse(tree, cams).collect()}
     assert shown == {("far", "0"), ("near", "0/0"), ("near", "0/0/0"), ("near", "0/1")}
     culled = cams.selectExpr("*", "array(array(1D, 0D, 0D, 0D)) frustum")
