@@ -34,13 +34,49 @@ TEMPLATES: list[tuple[str, str]] = [
         "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
         "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice <<optional>>(including the "
-        "next paragraph)<<end>> shall be included in all copies or substantial portions of the Software.",
+        "next paragraph)<<end>> shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+        "<<any 2 8>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with "
+        "the License. You may obtain a copy of the License at <<any 1 10>> Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS "
+        "OF ANY KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
     ),
     ("apache-2", "Licensed under the Apache License<<optional>>,<<end>> Version 2 <<optional>>0<<end>> <<optional>>(the License)<<end>>"),
     ("apache-2", "under the terms of the Apache License <<optional>>Version<<end>> 2 <<optional>>0<<end>>"),
     ("gpl", "licensed under the <<optional>>terms of the<<end>> GNU General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> version <<any 1 1>>"),
-    ("isc", "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "isc",
+        "Permission to use, copy, modify, and<<optional>>/or<<end>> distribute this software for any purpose with or without "
+        "fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED AS IS AND <<any 1 6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any 1 6>> BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+        "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: <<optional>>1<<end>> Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. <<optional>>2<<end>> Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. <<optional>><<optional>>3<<end>> Neither the name of "
+        "<<any 1 8>> nor the names of <<any 0 3>> contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.<<end>> THIS SOFTWARE IS PROVIDED BY <<any 1 8>> AS IS AND ANY "
+        "EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS "
+        "FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any 1 8>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     ("cc-by-nc", "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY NC <<any 1 1>>"),
     ("cc-by-nc", "Creative Commons Attribution NonCommercial <<any 1 2>> <<optional>>International<<end>> License"),
 ]
@@ -167,7 +203,8 @@ def scan_licenses(
 
     Columns: the id; ``n_words``; ``phrases`` and ``accepted``, arrays of
     (label, start, end) in words from 0, of every place of a phrase and of the
-    stretches that a template accepts (the longest one from each start).
+    stretches that a template accepts: the longest one from each start, but for those that
+    end inside one that begins before.
 
     A null or empty text has no words and empty arrays.  Null ids, repeated
     rows and texts of any length are rows like others; other columns are not read.

@@ -10,8 +10,9 @@
    chance agreement, is within six standard deviations of the threshold, and is
    then confirmed on both full sets of shingles.
 3. Pairs in one component need no further look.  Where a bucket holds several
-   components after that, its members are compared across components on their
-   full sets, in blocks of bounded size that are spread over tasks.
+   components after that, the packed signatures of its members are compared across
+   components by bit counts, in blocks of bounded size that are spread over tasks; only
+   members that are likely enough to have a link there are compared on their full sets, in blocks too.
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with a
 probability of 3e-6, and one above it with less.
@@ -178,19 +179,46 @@ def confirmed(docs: DataFrame, pairs: DataFrame, staging: Staging, name: str, wo
     return out
 
 
+def _dealt(held: DataFrame, weight: Column, budget: int, *columns: str) -> DataFrame:
+    """Each row of a bucket once for each pair of blocks (lo, hi) that its block is in; a block has about ``budget`` of ``weight``."""
+    blocks = F.greatest(F.ceil(weight / budget), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
+    dealt = held.withColumn("_blocks", blocks).withColumn("_mine", mine).select("bucket", "_id", "comp", *columns, "_mine", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    return dealt.withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
+
+
+def _likely_across(held: DataFrame, n: int, least: int, block_rows: int = 2048) -> DataFrame:
+    """(_id) of the members of ``held`` (bucket, held, _id, comp, sig) whose signature agrees with one of another component often enough."""
+    kind = held.schema["_id"].dataType.simpleString()
+    lows = np.uint64(0x1111111111111111)
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        ids, comp = g["_id"].to_numpy(), g["comp"].to_numpy()
+        names, members = np.unique(comp, return_counts=True)
+        found = np.zeros(len(ids), bool)
+        if len(names) > 1:
+            sig = np.stack(g["sig"].to_numpy()).astype(np.int64).view(np.uint64)
+            for i in np.flatnonzero(comp != names[members.argmax()]):
+                d = sig ^ sig[i]
+                d |= d >> np.uint64(1)
+                d |= d >> np.uint64(2)
+                near = (n - np.bitwise_count(d & lows).sum(1, dtype=np.int64) >= least) & (comp != comp[i])
+                found |= near
+                found[i] |= near.any()
+        return pd.DataFrame({"_id": ids[found]})
+
+    return _dealt(held, F.col("held"), block_rows, "sig").groupBy("bucket", "lo", "hi").applyInPandas(compare, f"_id {kind}").distinct()
+
+
 def _links_across(held: DataFrame, percent: int, budget: int) -> DataFrame:
     """Links (a, b) between different components within buckets that hold several.
 
-    ``held`` has (bucket, weight, _id, comp, set).  A bucket is dealt into blocks
+    ``held`` has (bucket, weight, _id, comp, set), weight being all shingles of the bucket.  A bucket is dealt into blocks
     of about ``budget`` shingles, and each pair of blocks is compared by itself on
     full sets.  No pair leaves a task but links, and of those only as many as it
     takes to connect what is linked.
     """
-    blocks = F.ceil(F.col("weight") / budget).cast("int")
-    mine = F.pmod(F.xxhash64("_id"), blocks).cast("int")
-    every = F.sequence(F.lit(0), F.col("_blocks") - 1)
-    dealt = held.withColumn("_blocks", blocks).withColumn("_mine", mine).select("bucket", "_id", "comp", "set", "_mine", F.explode(every).alias("_other"))
-    dealt = dealt.withColumn("lo", F.least("_mine", "_other")).withColumn("hi", F.greatest("_mine", "_other"))
+    dealt = _dealt(held, F.col("weight"), budget, "set")
     kind = held.schema["_id"].dataType.simpleString()
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
@@ -249,10 +277,10 @@ def near_dedup(
     reps = staging.keep(usable.select("_id", "s1", "s2", "n_shingles", "sig", "keys").join(heads, ["_id", "s1", "s2"]).select("_id", "n_shingles", "sig", "keys"), "representatives")
 
     # Stars: the smallest id of each bucket with its other members.
-    buckets = reps.select("_id", "n_shingles", F.explode("keys").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("held"), F.sum("n_shingles").alias("weight")).where("held > 1")
+    buckets = reps.select("_id", F.explode("keys").alias("bucket"))
+    leaders = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("held")).where("held > 1")
     leaders = staging.keep(leaders, "leaders")
-    stars = staging.keep(buckets.join(leaders, "bucket").select("bucket", "held", "weight", "leader", "_id"), "stars")
+    stars = staging.keep(buckets.join(leaders, "bucket").select("bucket", "held", "leader", "_id"), "stars")
     pairs = staging.keep(stars.where("leader <> _id").select(F.col("leader").alias("a"), F.col("_id").alias("b")).distinct(), "star-pairs")
     sig = reps.select("_id", "sig").distinct() if usable.count() != groups.agg(F.sum("size")).first()[0] else reps.select("_id", "sig")
     with_a, with_b = sig.toDF("a", "sig_a"), sig.toDF("b", "sig_b")
@@ -271,10 +299,14 @@ def near_dedup(
     mixed = staging.keep(mixed, "mixed")
     if mixed.count():
         # The star's pairs are settled, so the leaders stay out.
-        held = placed.join(broadcast_if_small(mixed), "bucket", "left_semi").where("_id <> leader").select("bucket", "weight", "_id", "comp")
-        held = staging.keep(held, "held")
-        sets = staging.keep(_sets(docs, staging.keep(held.select("_id").distinct(), "held-ids"), words), "held-sets")
-        late = staging.keep(_links_across(held.join(sets, "_id"), percent, block_shingles), "late-links")
+        held = placed.join(broadcast_if_small(mixed), "bucket", "left_semi").where("_id <> leader").select("bucket", "held", "_id", "comp")
+        held = staging.keep(held.join(sig, "_id"), "held")
+        likely = staging.keep(_likely_across(held, n, least), "late-likely")
+        sets = staging.keep(_sets(docs, likely, words), "held-sets")
+        near = staging.keep(held.drop("sig", "held").join(sets.select("_id", (F.octet_length("set") / 8).alias("size")), "_id"), "late-held")
+        near = near.join(near.groupBy("bucket").agg(F.sum("size").alias("weight")), "bucket")
+        late = staging.keep(_links_across(near.join(sets, "_id"), percent, block_shingles), "late-links")
+        staging.drop("held", "held-sets", "late-held")
         if late.count():
             labels = connected_components(edges.union(late), staging, "second")
 

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from tessera.llm import language, toxicity
-from tessera.llm.licenses import compile_template, scan_licenses
+from tessera.llm.licenses import TEMPLATES, compile_template, scan_licenses
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.packing import best_fit_plan, pack, pack_documents, token_pieces
 from tessera.llm.queries_language import op4_language_id
@@ -42,6 +42,24 @@ def test_template_regions():
             compile_template("x", bad)
 
 
+def filled(template, words):
+    """A template as text: optional regions in, ``words`` where any words may stand."""
+    return re.sub(r"<<any [^>]*>>", words, template.replace("<<optional>>", " ").replace("<<end>>", " "))
+
+
+def test_full_licenses_need_their_wording(spark):
+    full = [(label, t) for label, t in TEMPLATES if len(t) > 400]
+    assert {label for label, _ in full} == {"mit", "apache-2", "isc", "bsd"}
+    rows, want = [], []
+    for i, (label, t) in enumerate(full):
+        text = filled(t, "Example Holders Inc")
+        changed = [text.replace("ANY KIND", "SOME KIND").replace("DAMAGES", "HARM"), text.replace(" the ", " a ", 1), text.rsplit(" ", 1)[0], filled(t, "x " * 12)]
+        rows += [(10 * i, "Copyright 2024\n" + text.replace(" ", "\n  * ") + " end"), *((10 * i + 1 + k, c) for k, c in enumerate(changed))]
+        want.append((10 * i, label))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=full).collect()
+    assert sorted((r["doc_id"], a["label"]) for r in found for a in r["accepted"]) == want
+
+
 def test_license_edge_rows(spark):
     rows = [(1, None, "k"), (2, "", "k"), (None, "Under the MIT License", "k"), (3, "x" * 100_000 + " licensed under the Apache License, Version 2.0", "k"), (3, "UNDER   the\nMIT, license", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, phrases string")
@@ -320,20 +338,37 @@ def test_neighbours_are_exact(spark):
         labels.append((i, int(y)))
     d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     index = toxicity.learn(d, lab, block=8, k=7)
-    known = toxicity.KnownFeatures(index.names)
-    dense = np.zeros((len(index.ids), len(index.names)))
-    where = {i: n for n, i in enumerate(index.ids)}
-    for i, t in docs:
-        f, c = known.counts(t)
-        dense[where[i], f] = index.vector(f, c.astype(float))
-    for i, t in docs[:60]:
-        f, c = known.counts(t)
-        if not len(f):
+    # Written out: features of a text are its words and their beginnings; weights (1 + ln tf) ln((N + 1) / (df + 1)).
+    chosen = {f: k for k, f in enumerate(index.names)}
+
+    def tally(text):
+        n = {}
+        for w in re.findall(r"[0-9a-z]+", text.lower()):
+            for f in (w, *(f"^{w[:k]}" for k in range(3, 8) if len(w) > k)):
+                if f in chosen:
+                    n[f] = n.get(f, 0) + 1
+        return n
+
+    tallies = {i: tally(t) for i, t in docs}
+    frequency = {f: sum(f in n for n in tallies.values()) for f in chosen}
+
+    def unit(n):
+        v = {f: (1 + np.log(k)) * (np.log((len(docs) + 1) / (frequency[f] + 1)) + 1e-6) for f, k in n.items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    units = {i: unit(n) for i, n in tallies.items() if n}
+    evidence = {r["doc_id"]: r["evidence"] for r in toxicity.score(d, index).collect()}
+    label = dict(labels)
+    for i, _ in docs[:60]:
+        if i not in units:
+            assert evidence[i] == []
             continue
-        sims = dense @ dense[where[i]]
-        near, cosine = index.nearest(f, c)
-        assert np.allclose(np.sort(sims)[::-1][: len(near)], cosine)
-        assert len(near) == min(7, (sims > 0).sum())
+        cosine = {j: sum(x * v.get(f, 0.0) for f, x in units[i].items()) for j, v in units.items()}
+        best = sorted((c for c in cosine.values() if c > 0), reverse=True)[:7]
+        got = [(e["id"], e["cosine"]) for e in evidence[i]]
+        assert np.allclose([c for _, c in got], best) and len({j for j, _ in got}) == len(got)
+        assert all(abs(cosine[j] - c) < 1e-9 for j, c in got) and all(e["label"] == label[e["id"]] for e in evidence[i])
     scored = {r["doc_id"]: r["score"] for r in toxicity.score(d, index).collect()}
     assert min(scored[i] for i, y in labels if y) > max(scored[i] for i, y in labels if not y)
     odd = spark.createDataFrame([(None, None), (1, ""), (2, "bad1"), (2, "bad1")], "doc_id long, text string")
