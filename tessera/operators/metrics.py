@@ -55,13 +55,28 @@ def lod_violations(tiles: DataFrame, view: str, distance: str, zoom: str, key: s
     return suffix_max(tiles, view, [distance, key], zoom, "_far").where(F.col("_far") > F.col(zoom) + 1).drop("_far")
 
 
-def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, needed: int = 3) -> DataFrame:
-    """The first sample of each scenario that ends ``needed`` quiet ones in a row (null if none does)."""
-    w = Window.partitionBy(scenario).orderBy(order)
-    run = F.sum(F.when(quiet, 0).otherwise(1)).over(w)
-    marked = samples.withColumn("_q", quiet).withColumn("_run", run)
-    nth = F.sum(F.when(F.col("_q"), 1).otherwise(0)).over(Window.partitionBy(scenario, "_run").orderBy(order))
-    return marked.withColumn("_nth", nth).groupBy(scenario).agg(F.min(F.when(F.col("_q") & (F.col("_nth") >= needed), F.col(order))).alias("settled"))
+def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, needed: int = 3, slots: int = 64) -> DataFrame:
+    """The first sample of each scenario that ends ``needed`` quiet ones in a row (null if none does); a null ``quiet`` is not.
+
+    A run is counted within a slot of its scenario; of each slot remain the first sample that settles
+    there, the first ``needed`` of a run from its start and the length of the run at its end, which is carried on.
+    """
+    marked = in_slots(samples.select(scenario, order, F.coalesce(quiet, F.lit(False)).alias("_q")), scenario, F.col(order), slots)
+    run = F.sum(F.when(F.col("_q"), 0).otherwise(1)).over(Window.partitionBy(scenario, "_slot").orderBy(order))
+    nth = F.sum(F.when(F.col("_q"), 1).otherwise(0)).over(Window.partitionBy(scenario, "_slot", "_run").orderBy(order))
+    marked = marked.withColumn("_run", run).withColumn("_nth", nth)
+    leading = F.col("_q") & (F.col("_run") == 0) & (F.col("_nth") <= needed)
+    cut = marked.groupBy(scenario, "_slot").agg(
+        F.min(F.when(F.col("_q") & (F.col("_nth") >= needed), F.col(order))).alias("_own"),
+        F.collect_list(F.when(leading, F.struct("_nth", F.col(order).alias("_at")))).alias("_head"),
+        F.max(F.struct("_run", "_nth")).alias("_tail"),
+    )
+    earlier = Window.partitionBy(scenario).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_sum", F.coalesce(F.sum("_tail._nth").over(earlier), F.lit(0)))
+    broken = F.last(F.when(F.col("_tail._run") > 0, F.col("_sum")), ignorenulls=True).over(earlier)
+    cut = cut.withColumn("_carry", F.col("_sum") - F.coalesce(broken, F.lit(0)))
+    joined = F.array_min(F.transform(F.filter("_head", lambda r: r["_nth"] + F.col("_carry") >= needed), lambda r: r["_at"]))
+    return cut.groupBy(scenario).agg(F.min(F.least("_own", joined)).alias("settled"))
 
 
 def in_slots(df: DataFrame, group: str, order: Column, slots: int) -> DataFrame:

@@ -174,3 +174,23 @@ def test_adaptive_selection(spark):
     views = spark.createDataFrame([(1, *box, *focus), (2, 0.0, 0.0, 5.0, 5.0, 1.0, 1.0)], "view long, x0 double, y0 double, x1 double, y1 double, fx double, fy double")
     got = quadtree.adaptive_tiles(views, 6, 1, 2.0, 5, 40).collect()
     assert [tuple(r)[1:] for r in got if r["view"] == 1] == quadtree.select_adaptive(box, focus, 6, 1, 2.0, 5, 40)
+
+
+def test_settle_index_across_slots(spark):
+    import random
+
+    draw, rows, expected = random.Random(5), [], {}
+    for name, n, share in [("hot", 3000, 0.5), ("rare", 400, 0.15), ("never", 50, 0.0), ("all", 7, 1.0), ("short", 2, 1.0), (None, 30, 0.6)]:
+        at, run, first = 0, 0, None
+        for _ in range(n):
+            at += draw.choice([1, 1, 1, 900])
+            quiet = draw.random() < share
+            rows.append((name, at, quiet if quiet or draw.random() < 0.8 else None))
+            run = run + 1 if quiet else 0
+            first = at if first is None and run >= 4 else first
+        expected[name] = first
+    draw.shuffle(rows)
+    samples = spark.createDataFrame(rows, "s string, t long, quiet boolean")
+    for slots in (1, 5, 64, 5000):
+        assert {r["s"]: r["settled"] for r in metrics.settle_index(samples, "s", "t", F.col("quiet"), 4, slots).collect()} == expected
+    assert metrics.settle_index(samples.where("false"), "s", "t", F.col("quiet")).count() == 0
