@@ -12,8 +12,8 @@ pieces can be hashed apart, in any task, and combined afterwards.
 3. Within a group every text is compared with the text of its representative,
    piece by piece: both are cut, pieces meet by (group, lot, number), and a row
    is confirmed if all its pieces are equal.  The representative of a large group
-   is copied to one lot for each ``lot_rows`` rows, so no task gets a whole
-   group.  Rows that differ (equal fingerprints of different texts) form a new
+   is fetched once and then copied, in two steps, to one lot for each ``lot_rows`` rows, so no
+   task gets a whole group.  Rows that differ (equal fingerprints of different texts) form a new
    group and are compared again, until none is left.
 
 Only ids and fingerprints of all rows are shuffled; texts are shuffled only
@@ -97,6 +97,19 @@ def fingerprints(df: DataFrame, staging: Staging, piece_bytes: int, primes: tupl
     return one.unionByName(many)
 
 
+def _copied(heads: DataFrame) -> DataFrame:
+    """(keep_id, no, piece, lot) for each of the ``lots`` of each piece of (keep_id, no, piece, lots).
+
+    In two steps of about the square root of ``lots``, with a shuffle between them, so that no task
+    writes all copies of one text.  A representative whose row is repeated is taken once.
+    """
+    once = heads.groupBy("keep_id", "no").agg(F.first("piece").alias("piece"), F.first("lots").alias("lots"))
+    wide = once.withColumn("wide", F.ceil(F.sqrt("lots")).cast("long"))
+    first = wide.withColumn("begin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1, F.col("wide"))))
+    dealt = first.repartition("keep_id", "no", "begin")
+    return dealt.select("keep_id", "no", "piece", F.explode(F.sequence("begin", F.least(F.col("begin") + F.col("wide"), F.col("lots")) - 1)).alias("lot"))
+
+
 def _confirm(docs: DataFrame, members: DataFrame, staged: Callable[[DataFrame, str], DataFrame], piece_bytes: int, lot_rows: int) -> DataFrame:
     """(_id, _sha, keep_id, same): whether the text of each member equals that of its representative.
 
@@ -104,15 +117,16 @@ def _confirm(docs: DataFrame, members: DataFrame, staged: Callable[[DataFrame, s
     representatives; ``staged`` keeps a table under a name.
     """
     lots = F.ceil(F.col("size") / lot_rows).cast("long")
-    rows = members.select("_id", "_sha", "keep_id", F.pmod(F.xxhash64("_id", "_sha"), lots).alias("lot"), F.lit(False).alias("kept"))
+    rows = members.select("_id", "_sha", "keep_id", F.pmod(F.xxhash64("_id", "_sha"), lots).alias("lot"), F.lit(None).cast("long").alias("lots"))
     heads = members.groupBy("keep_id", "keep_sha").agg(F.max(lots).alias("lots"))
-    heads = heads.select(F.col("keep_id").alias("_id"), F.col("keep_sha").alias("_sha"), "keep_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.lit(True).alias("kept"))
+    heads = heads.select(F.col("keep_id").alias("_id"), F.col("keep_sha").alias("_sha"), "keep_id", F.lit(None).cast("long").alias("lot"), "lots")
     wanted = broadcast_if_small(staged(rows.unionByName(heads), "wanted"))
     texts = docs.select("_id", F.sha2(F.encode("_text", "UTF-8"), 256).alias("_sha"), "_text")
-    cut = texts.join(wanted, ["_id", "_sha"]).select("_id", "_sha", "keep_id", "lot", "kept", F.explode(_pieces(F.col("_text"), piece_bytes)).alias("q"))
-    cut = staged(cut.select("_id", "_sha", "keep_id", "lot", "kept", F.col("q.no").alias("no"), F.col("q.piece").alias("piece")), "fetched")
-    left = cut.where("not kept").drop("kept")
-    right = cut.where("kept").select(F.col("keep_id").alias("_k"), F.col("lot").alias("_l"), F.col("no").alias("_n"), F.col("piece").alias("other"))
+    cut = texts.join(wanted, ["_id", "_sha"]).select("_id", "_sha", "keep_id", "lot", "lots", F.explode(_pieces(F.col("_text"), piece_bytes)).alias("q"))
+    cut = staged(cut.select("_id", "_sha", "keep_id", "lot", "lots", F.col("q.no").alias("no"), F.col("q.piece").alias("piece")), "fetched")
+    left = cut.where("lot is not null").drop("lots")
+    right = _copied(cut.where("lots is not null").select("keep_id", "no", "piece", "lots"))
+    right = right.select(F.col("keep_id").alias("_k"), F.col("lot").alias("_l"), F.col("no").alias("_n"), F.col("piece").alias("other"))
     met = left.join(right, (F.col("keep_id") == F.col("_k")) & (F.col("lot") == F.col("_l")) & (F.col("no") == F.col("_n")), "left")
     return met.groupBy("_id", "_sha", "keep_id").agg(F.min(F.coalesce(F.col("piece") == F.col("other"), F.lit(False))).alias("same"))
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tessera.llm.exact_dedup import BASES, PRIMES, _powers, exact_dedup, fingerprint_pieces
+from tessera.llm.exact_dedup import BASES, PRIMES, _copied, _powers, exact_dedup, fingerprint_pieces
 from tessera.llm.near_dedup import near_dedup, packed
 
 SCHEMA = "doc_id long, text string, keep_id string, size string, label string, bucket string"
@@ -58,6 +58,21 @@ def test_exact_many_collisions_and_copies(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == exact_brute(rows)
 
 
+def test_exact_large_group_beyond_broadcast(spark, monkeypatch):
+    """A representative of many lots, itself a repeated row, where no join is a broadcast."""
+    monkeypatch.setattr("tessera.llm.exact_dedup.broadcast_if_small", lambda df: df)
+    rows = [(i, "hot text") for i in range(101)] + [(100, "hot text")] * 3 + [(200, "one"), (201, None), (202, "")]
+    got = exact_dedup(table(spark, rows), piece_bytes=3, lot_rows=2).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    assert sorted(map(tuple, got.collect()), key=repr) == exact_brute(rows)
+
+
+def test_copies_reach_every_lot(spark):
+    lots = {1: 1, 2: 2, 3: 3, 4: 10, 5: 17, 6: 1000}
+    heads = spark.createDataFrame([(k, 0, b"p", n) for k, n in lots.items()] * 2, "keep_id long, no int, piece binary, lots long")
+    got = sorted((r.keep_id, r.lot) for r in _copied(heads).collect())
+    assert got == [(k, i) for k, n in lots.items() for i in range(n)]
+
+
 def shingles(text, n):
     words = [w for w in re.split(r"[ \t-\r]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
     if not words:
