@@ -7,7 +7,7 @@ import importlib
 import corpus_pipeline
 
 #: One module of queries for each operator.
-MODULES = ["queries_licenses", "queries_language", "queries_dedup", "queries_packing", "queries_mixing", "queries_sketches", "queries_toxicity", "queries_warc", "queries_quotes"]
+MODULES = ["queries_licenses", "queries_language", "queries_dedup", "queries_packing", "queries_mixing", "queries_sketches", "queries_toxicity", "queries_warc", "queries_quotes", "queries_prefixes", "queries_audit", "queries_trie"]
 
 QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
