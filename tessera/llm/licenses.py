@@ -185,9 +185,11 @@ def compile_template(label: str, template: str) -> Automaton:
 
 def _places(joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which ``phrase`` (with a space on either side) begins in ``joined``."""
-    found, at = [], joined.find(phrase)
+    found, at, seen, words = [], joined.find(phrase), 0, 0
     while at >= 0:
-        found.append(joined.count(b" ", 0, at))
+        words += joined.count(b" ", seen, at)
+        seen = at
+        found.append(words)
         at = joined.find(phrase, at + 1)
     return found
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 
 from tessera.llm import language, toxicity
-from tessera.llm.licenses import TEMPLATES, compile_template, scan_licenses
+from tessera.llm.licenses import TEMPLATES, _places, compile_template, scan_licenses
 from tessera.llm.mixing import poisson_mix
 from tessera.llm.packing import best_fit_plan, pack, pack_documents, token_pieces
 from tessera.llm.queries_language import op4_language_id
@@ -47,6 +48,13 @@ def filled(template, words):
     return re.sub(r"<<any [^>]*>>", words, template.replace("<<optional>>", " ").replace("<<end>>", " "))
 
 
+def test_places_of_a_phrase_take_one_pass():
+    text = b" " + b"cc by nc " * 80_000
+    began = time.perf_counter()
+    found = _places(text, b" cc by nc ")
+    assert found == list(range(0, 240_000, 3)) and time.perf_counter() - began < 1
+
+
 def test_full_licenses_need_their_wording(spark):
     full = [(label, t) for label, t in TEMPLATES if len(t) > 400]
     assert {label for label, _ in full} == {"mit", "apache-2", "isc", "bsd"}
