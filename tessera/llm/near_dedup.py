@@ -138,6 +138,10 @@ def agreeing(x: Column, y: Column, n: int) -> Column:
     return F.lit(n) - apart
 
 
+#: A leader with more than this part of all pairs learns its lots by broadcast; there are at most so many.
+HOT_LEADERS = 200
+
+
 def least_agreeing(n: int, percent: int) -> int:
     """The agreements that a pair at the threshold has at least, but for six standard deviations."""
     j, chance = percent / 100, 2.0**-BITS
@@ -145,8 +149,8 @@ def least_agreeing(n: int, percent: int) -> int:
     return int(np.floor(n * (chance + (1 - chance) * max(0.0, least))))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(_id, set) of the documents among ``ids``: their shingle hashes as bytes."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int, repeats: bool) -> DataFrame:
+    """(_id, set) of the documents among ``ids``: their shingle hashes as bytes.  ``repeats``: ids may repeat; equal sets of one id are one row."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,13 +159,26 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             made = [shingle_set(t, words, hashes).tobytes() for t in utf8(column(batch, "_text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "_id"), pa.array(made, pa.binary())], ["_id", "set"])
 
-    return docs.join(broadcast_if_small(ids), "_id").select("_id", "_text").mapInArrow(build, f"_id {kind}, set binary")
+    made = docs.join(broadcast_if_small(ids), "_id").select("_id", "_text").mapInArrow(build, f"_id {kind}, set binary")
+    return made.distinct() if repeats else made
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, staging: Staging, name: str, words: int, percent: int) -> DataFrame:
+def with_lots(pairs: DataFrame, staging: Staging, name: str, per_lot: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, lot) with those of one ``a`` dealt to lots of about ``per_lot``, and the lots (a, lot) of every ``a``.
+
+    What belongs to ``a`` is then met once in each lot, so the leader of very many pairs is no task's burden.
+    """
+    many = staging.keep(pairs.groupBy("a").agg(F.count("*").alias("n")), f"{name}-many")
+    lots = F.ceil(F.col("n") / per_lot)
+    known = left_join_hot(pairs, many, ["a"], "n", max(2, pairs.count() // HOT_LEADERS), F.xxhash64("b"))
+    dealt = known.select("a", "b", F.pmod(F.xxhash64("b"), lots).cast("int").alias("lot"))
+    return dealt, many.select("a", F.explode(F.sequence(F.lit(0), (lots - 1).cast("int"))).alias("lot"))
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, staging: Staging, name: str, words: int, percent: int, repeats: bool) -> DataFrame:
     """The pairs (a, b) whose full sets meet ``100 * common >= percent * union``, staged."""
     ids = staging.keep(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-    sets = staging.keep(_sets(docs, ids, words), f"{name}-sets")
+    sets = staging.keep(_sets(docs, ids, words, repeats), f"{name}-sets")
     kind = pairs.schema["a"].dataType.simpleString()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +190,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, staging: Staging, name: str, wo
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], ["a", "b"]).filter(pa.array(ok))
 
-    met = pairs.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("right")), "b").join(sets.select(F.col("_id").alias("a"), F.col("set").alias("left")), "a")
+    dealt, lots = with_lots(pairs, staging, name)
+    left = lots.join(sets.select(F.col("_id").alias("a"), F.col("set").alias("left")), "a")
+    met = dealt.join(sets.select(F.col("_id").alias("b"), F.col("set").alias("right")), "b").join(left, ["a", "lot"])
     out = staging.keep(met.select("a", "b", "left", "right").mapInArrow(check, f"a {kind}, b {kind}"), name)
-    staging.drop(f"{name}-ids", f"{name}-sets")
-    return out
+    staging.drop(f"{name}-ids", f"{name}-sets", f"{name}-many")
+    return out.distinct() if repeats else out
 
 
 def _dealt(held: DataFrame, weight: Column, budget: int, *columns: str) -> DataFrame:
@@ -270,23 +289,27 @@ def near_dedup(
     staging = Staging(df.sparkSession, "near-dedup")
     n, least = bands * rows, least_agreeing(bands * rows, percent)
     docs = df.select(df[id_col].alias("_id"), df[text_col].alias("_text"))
-    sigs = staging.keep(signatures(docs, words, bands, rows), "signatures")
+    sigs = staging.keep(signatures(docs, words, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     usable = sigs.where("_id is not null and s1 is not null")
-    groups = staging.keep(usable.groupBy("s1", "s2").agg(F.min("_id").alias("cls"), F.count("*").alias("size")), "classes")
-    heads = groups.select(F.col("cls").alias("_id"), "s1", "s2")
-    reps = staging.keep(usable.select("_id", "s1", "s2", "n_shingles", "sig", "keys").join(heads, ["_id", "s1", "s2"]).select("_id", "n_shingles", "sig", "keys"), "representatives")
+    # One row stands for all with the same shingles, however often it is repeated.
+    groups = staging.keep(usable.groupBy("s1", "s2").agg(F.min("_id").alias("cls"), F.min_by("_row", "_id").alias("_row"), F.count("*").alias("size")), "classes")
+    reps = staging.keep(usable.select("_row", "_id", "n_shingles", "sig", "keys").join(groups.select("_row"), "_row").select("_id", "n_shingles", "sig", "keys"), "representatives")
+    # Ids repeat where rows do, and where one id has several texts.
+    repeats = usable.select("_id").distinct().count() < usable.count()
 
     # Stars: the smallest id of each bucket with its other members.
     buckets = reps.select("_id", F.explode("keys").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("_id").alias("leader"), F.count("*").alias("held")).where("held > 1")
     leaders = staging.keep(leaders, "leaders")
-    stars = staging.keep(buckets.join(leaders, "bucket").select("bucket", "held", "leader", "_id"), "stars")
+    stars = left_join_hot(buckets, leaders, ["bucket"], "held", max(2, reps.count() * bands // HOT_LEADERS), F.xxhash64("_id")).where("leader is not null")
+    stars = staging.keep(stars.select("bucket", "held", "leader", "_id"), "stars")
     pairs = staging.keep(stars.where("leader <> _id").select(F.col("leader").alias("a"), F.col("_id").alias("b")).distinct(), "star-pairs")
-    sig = reps.select("_id", "sig").distinct() if usable.count() != groups.agg(F.sum("size")).first()[0] else reps.select("_id", "sig")
-    with_a, with_b = sig.toDF("a", "sig_a"), sig.toDF("b", "sig_b")
-    likely = pairs.join(with_b, "b").join(with_a, "a").where(agreeing(F.col("sig_a"), F.col("sig_b"), n) >= least).select("a", "b")
-    likely = staging.keep(likely, "likely")
-    edges = confirmed(docs, likely, staging, "links", words, percent)
+    sig = reps.select("_id", "sig")
+    dealt, lots = with_lots(pairs, staging, "stars")
+    with_a, with_b = lots.join(sig.toDF("a", "sig_a"), "a"), sig.toDF("b", "sig_b")
+    likely = dealt.join(with_b, "b").join(with_a, ["a", "lot"]).where(agreeing(F.col("sig_a"), F.col("sig_b"), n) >= least).select("a", "b")
+    likely = staging.keep(likely.distinct() if repeats else likely, "likely")
+    edges = confirmed(docs, likely, staging, "links", words, percent, repeats)
     labels = connected_components(edges, staging, "first")
 
     # Buckets that still hold several components: all their pairs across components.
@@ -302,7 +325,7 @@ def near_dedup(
         held = placed.join(broadcast_if_small(mixed), "bucket", "left_semi").where("_id <> leader").select("bucket", "held", "_id", "comp")
         held = staging.keep(held.join(sig, "_id"), "held")
         likely = staging.keep(_likely_across(held, n, least), "late-likely")
-        sets = staging.keep(_sets(docs, likely, words), "held-sets")
+        sets = staging.keep(_sets(docs, likely, words, repeats), "held-sets")
         near = staging.keep(held.drop("sig", "held").join(sets.select("_id", (F.octet_length("set") / 8).alias("size")), "_id"), "late-held")
         near = near.join(near.groupBy("bucket").agg(F.sum("size").alias("weight")), "bucket")
         late = staging.keep(_links_across(near.join(sets, "_id"), percent, block_shingles), "late-links")

@@ -118,6 +118,26 @@ def test_near_against_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == near_brute(rows)
 
 
+def test_near_repeated_rows_with_near_copies(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(200)]
+    other = [*base[:-1], "changed"]
+    rows = [(1, " ".join(base))] * 200 + [(2, " ".join(other))] * 200 + [(3, "quite another text with some words")]
+    got = near_dedup(table(spark, rows), words=4, percent=80).groupBy("doc_id", "component_id", "kept").count()
+    assert sorted(map(tuple, got.collect())) == [(1, 1, True, 200), (2, 1, False, 200), (3, 3, True, 1)]
+
+
+def test_near_many_copies_of_one_leader(spark, monkeypatch):
+    from tessera.llm import near_dedup as module
+
+    monkeypatch.setattr(module.with_lots, "__defaults__", (8,))
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if k != i % 150 else f"x{i}" for k, w in enumerate(base))) for i in range(120)]
+    rows += [(1000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(40))) for i in range(60)]
+    assert sorted(map(tuple, near_dedup(table(spark, rows), words=4, percent=80).collect())) == near_brute(rows)
+
+
 def test_near_null_ids_and_repeats(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, None)]
     got = sorted(map(tuple, near_dedup(table(spark, rows)).collect()), key=repr)
