@@ -1,6 +1,6 @@
-"""Mesh generation: skirts, upsampling, triangulation, footprint extrusion, binary glTF.
+"""Mesh generation: triangulation, footprint extrusion, binary glTF.
 
-Each works on one tile or polygon at a time with numpy; Spark spreads tiles and cells.
+Each works on one polygon at a time with numpy; Spark spreads polygons and cells.
 """
 
 from __future__ import annotations
@@ -21,84 +21,6 @@ from tessera.plans.staging import Staging
 FLAT = 1e-14
 
 
-def skirt_depth(low: float, high: float, zoom: int) -> float:
-    """2 to 40 metres by the height range, less at coarse levels."""
-    return min(max((high - low) * 0.02, 2.0), 40.0) * min(max((zoom - 2) / 10, 0.25), 1.0)
-
-
-def border(u: np.ndarray, v: np.ndarray, most: int = 32767) -> np.ndarray:
-    """Vertices on the border as a closed ring from the south-west corner on; a corner counts once.
-
-    Sides in order bottom, right, top, left; each vertex belongs to the first side it lies on.
-    """
-    side = np.select([v == 0, u == most, v == most, u == 0], [0, 1, 2, 3], -1)
-    along = np.select([side == 0, side == 1, side == 2, side == 3], [u, v, most - u, most - v], 0)
-    at = np.flatnonzero(side >= 0)
-    return at[np.lexsort((along[at], side[at]))]
-
-
-def add_skirt(positions: np.ndarray, indices: np.ndarray, ring: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and triangles with a wall of ``depth`` below the ring: a vertex for each of its own, two triangles for each edge."""
-    n, k = len(positions), len(ring)
-    low = positions[ring] - [0, 0, depth]
-    a, b = ring, np.roll(ring, -1)
-    c, d = n + np.arange(k), n + np.roll(np.arange(k), -1)
-    quads = np.stack((a, c, b, b, c, d), 1).reshape(-1)
-    return np.concatenate((positions, low)), np.concatenate((indices, quads))
-
-
-def sample_mesh(uv: np.ndarray, value: np.ndarray, indices: np.ndarray, at: np.ndarray, bins: int = 32, tolerance: float = 1e-7) -> np.ndarray:
-    """``value`` at the places ``at`` by the triangle that holds each; NaN where none does.
-
-    Triangles are binned by their bounds, and each place is compared with those
-    of its bin alone.
-    """
-    tri = indices.reshape(-1, 3)
-    p = uv[tri]
-    lo = np.clip(np.floor(p.min(1) * bins - 1e-9), 0, bins - 1).astype(int)
-    hi = np.clip(np.floor(p.max(1) * bins + 1e-9), 0, bins - 1).astype(int)
-    held: dict[tuple[int, int], list[int]] = {}
-    for t, ((x0, y0), (x1, y1)) in enumerate(zip(lo, hi, strict=True)):
-        for x in range(x0, x1 + 1):
-            for y in range(y0, y1 + 1):
-                held.setdefault((x, y), []).append(t)
-    out = np.full(len(at), np.nan)
-    cell = np.clip(np.floor(at * bins), 0, bins - 1).astype(int)
-    for key in {tuple(c) for c in cell.tolist()}:
-        ts = np.array(held.get(key, []), int)
-        if not len(ts):
-            continue
-        mine = np.flatnonzero((cell == key).all(1))
-        a, b, c = p[ts, 0], p[ts, 1], p[ts, 2]
-        det = (b[:, 1] - c[:, 1]) * (a[:, 0] - c[:, 0]) + (c[:, 0] - b[:, 0]) * (a[:, 1] - c[:, 1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = at[mine][:, None] - c[None]
-            l1 = ((b[:, 1] - c[:, 1]) * d[..., 0] + (c[:, 0] - b[:, 0]) * d[..., 1]) / det
-            l2 = ((c[:, 1] - a[:, 1]) * d[..., 0] + (a[:, 0] - c[:, 0]) * d[..., 1]) / det
-        l3 = 1 - l1 - l2
-        inside = (np.minimum(np.minimum(l1, l2), l3) >= -tolerance) & (det != 0)
-        first = inside.argmax(1)
-        ok = inside.any(1)
-        r = np.arange(len(mine))
-        z = value[tri[ts]]
-        got = l1[r, first] * z[first, 0] + l2[r, first] * z[first, 1] + l3[r, first] * z[first, 2]
-        out[mine[ok]] = got[ok]
-    return out
-
-
-def upsample(uv: np.ndarray, value: np.ndarray, indices: np.ndarray, quadrant: tuple[int, int], n: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """An (n + 1) x (n + 1) grid of ``value`` over a quadrant (column, row) of a mesh, and its triangles; n is 2 to 64.
-
-    A place that no triangle holds takes the value before it, at first 0.
-    """
-    n = min(max(n, 2), 64)
-    y, x = np.mgrid[0 : n + 1, 0 : n + 1]
-    at = np.stack(((x.ravel() / n + quadrant[0]) / 2, (y.ravel() / n + quadrant[1]) / 2), 1)
-    z = pd.Series(sample_mesh(uv, value, indices, at)).ffill().fillna(0.0).to_numpy()
-    k = (np.arange(n)[:, None] * (n + 1) + np.arange(n)[None]).ravel()
-    return z, np.stack((k, k + 1, k + n + 1, k + 1, k + n + 2, k + n + 1), 1).ravel()
-
-
 def _area2(r: np.ndarray) -> float:
     x, y = r[:, 0], r[:, 1]
     return float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())

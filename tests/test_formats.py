@@ -54,31 +54,6 @@ def test_availability(spark):
     assert sorted(map(tuple, terrain.availability_ranges(m.select("available")).collect())) == [(0, 0, 1, 0, 0), (1, 2, 3, 1, 1)]
 
 
-def grid(n):
-    y, x = np.mgrid[0 : n + 1, 0 : n + 1]
-    k = (np.arange(n)[:, None] * (n + 1) + np.arange(n)[None]).ravel()
-    return np.stack((x.ravel() / n, y.ravel() / n), 1), np.stack((k, k + 1, k + n + 1, k + 1, k + n + 2, k + n + 1), 1).ravel()
-
-
-def test_upsample_is_exact_on_a_plane():
-    uv, tri = grid(5)
-    z = 10 + 20 * uv[:, 0] + 40 * uv[:, 1]
-    whole = [M.upsample(uv, z, tri, q, 16)[0] for q in ((0, 0), (1, 0), (0, 1), (1, 1))]
-    assert all(len(w) == 289 for w in whole)
-    assert min(w.min() for w in whole) == pytest.approx(10) and max(w.max() for w in whole) == pytest.approx(70)
-    y, x = np.mgrid[0:17, 0:17]
-    assert np.abs(whole[3] - (10 + 20 * (x.ravel() / 16 + 1) / 2 + 40 * (y.ravel() / 16 + 1) / 2)).max() < 0.01
-
-
-def test_skirt():
-    u, v, h, i = mesh()
-    ring = M.border(u, v)
-    assert sorted(ring.tolist()) == [0, 1, 2, 3] and ring[0] == 0
-    p, t = M.add_skirt(np.column_stack((u, v, h)).astype(float), i, ring, M.skirt_depth(10, 100, 12))
-    assert len(p) == 8 and len(t) == 6 + 24
-    assert M.skirt_depth(0, 10000, 12) == 40 and M.skirt_depth(0, 1, 2) == 0.5
-
-
 def area(p, t):
     a, b, c = p[t.reshape(-1, 3)].transpose(1, 0, 2)
     return (((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0]) / 2)
