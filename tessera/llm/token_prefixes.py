@@ -29,17 +29,17 @@ from pyspark.sql import functions as F
 from tessera.llm._text import column, slices
 
 #: Code points in a block of the table of prefixes.
-BLOCK = 4096
+BLOCK = 512
 #: Words that a process remembers: two generations of so many.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Longer words are not remembered.
 LONGEST = 64
 #: Pairs of tokens that a process remembers.
-PAIRS = 500_000
+PAIRS = 200_000
 #: A longer text is counted in stretches of about so many code points, cut before a single space between words.
 STRETCH = 1 << 20
 #: Slices of texts that are counted together, in bytes.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 #: The contractions that byte-level splitters keep together.
@@ -292,19 +292,30 @@ def prefix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [t or "" for t in column(batch, "_text").to_pylist()]
             counts, n_bytes = counter.texts(texts)
             del texts
-            rows: list[tuple] = []
-            for k, made in enumerate(counts):
-                n, total = len(made), int(made[-1]) if len(made) else 0
-                starts = np.arange(0, max(n, 1), block)
-                least = np.minimum.reduceat(made, starts) if n else np.zeros(1, np.int64)
-                later = np.append(np.minimum.accumulate(least[:0:-1])[::-1], -1)
-                least[0] = 0
-                before = np.where(starts > 0, made[starts - 1], 0) if n else starts
-                rows += zip([k] * len(starts), range(len(starts)), starts.tolist(), before.tolist(), least.tolist(), [x if x >= 0 else None for x in later.tolist()], [n] * len(starts), [n_bytes[k]] * len(starts), [total] * len(starts), strict=True)
-            steps = np.concatenate([np.diff(made, prepend=0) for made in counts]).astype(np.int32)
-            which, number, start, before, least, later, chars, size, total = map(list, zip(*rows, strict=True))
-            ends = np.cumsum([0, *(min(block, c - s) for c, s in zip(chars, start, strict=True))]).astype(np.int32)
-            long = [pa.array(x, pa.int64()) for x in (start, before, least, later, chars, size, total)]
+            chars = np.array([len(c) for c in counts])
+            many = np.maximum(1, -(-chars // block))
+            which = np.repeat(np.arange(len(counts)), many)
+            first = np.cumsum(many) - many
+            number = np.arange(len(which)) - first[which]
+            start, flat = number * block, np.concatenate(counts)
+            size = np.minimum(block, chars[which] - start)
+            place = (np.cumsum(chars) - chars)[which] + start
+            full = size > 0  # all but the one block of an empty text
+            before, least, total = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64), np.zeros(len(counts), np.int64)
+            if full.any():
+                least[full] = np.minimum.reduceat(flat, place[full])
+                before[start > 0] = flat[place[start > 0] - 1]
+                total[chars > 0] = flat[np.cumsum(chars)[chars > 0] - 1]
+            later = np.full(len(which), -1, np.int64)
+            for f, m in zip(first[many > 1].tolist(), many[many > 1].tolist(), strict=True):
+                later[f : f + m - 1] = np.minimum.accumulate(least[f + m - 1 : f : -1])[::-1]
+            least[number == 0] = 0
+            steps = np.diff(flat, prepend=0).astype(np.int32)
+            begins = place[full & (number == 0)]
+            steps[begins] = flat[begins]
+            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            whole = [chars[which], np.array(n_bytes)[which], total[which]]
+            long = [pa.array(x, pa.int64(), mask=m) for x, m in ((start, None), (before, None), (least, None), (later, later < 0), *((x, None) for x in whole))]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(steps))
             yield pa.RecordBatch.from_arrays(
                 [column(batch, "_id").take(pa.array(which)), pa.array(number, pa.int32()), *long[:2], lists, *long[2:]],
