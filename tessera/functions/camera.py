@@ -113,3 +113,30 @@ def near_view(box: tuple[Column, Column, Column, Column], view: tuple[Column, Co
     west, south, east, north = box
     w, s, e, n = view
     return ~((east < w - (e - w)) | (west > e + (e - w)) | (north < s - (n - s)) | (south > n + (n - s)))
+
+
+def ray_through(x: Column, y: Column, width: float, height: float, fov_deg: float) -> Vector:
+    """The direction, not of unit length, of the ray through a pixel of the view of the columns of ``with_basis``; pixels count from the upper left."""
+    t = math.tan(math.radians(fov_deg) / 2)
+    across = (x / width * 2 - 1) * (t * width / height)
+    upward = (1 - y / height * 2) * t
+    return tuple(F.col("ahead")[c] + F.col("right")[c] * across + F.col("up")[c] * upward for c in "xyz")
+
+
+def ground_under(x: Column, y: Column, width: float, height: float, fov_deg: float, level: float = 0.0) -> Column:
+    """Where the ray through a pixel meets the horizontal plane at ``level``: a struct (x, y, z), null if it does not.
+
+    An eye below the plane sees it from below.  Null pixels or cameras give null.
+    """
+    d = ray_through(x, y, width, height, fov_deg)
+    eye = tuple(F.col("eye")[c] for c in "xyz")
+    reach = (F.lit(level) - eye[2]) / F.when(d[2] != 0, d[2])
+    return F.when(reach >= 0, F.struct(*[(eye[k] + d[k] * reach).alias(c) for k, c in enumerate("xyz")]))
+
+
+def pixel_of(point: Column, width: float, height: float, fov_deg: float, near: float, far: float) -> Column:
+    """The pixel (x, y) of a struct (x, y, z), inside or outside the screen, null if it is not before the eye."""
+    seen = project(point, fov_deg, width / height, near, far)
+    d = tuple(point[c] - F.col("eye")[c] for c in "xyz")
+    ahead = dot(d, tuple(F.col("ahead")[c] for c in "xyz")) > 0
+    return F.when(ahead, F.struct(((seen["x"] + 1) / 2 * width).alias("x"), ((1 - seen["y"]) / 2 * height).alias("y")))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,27 +187,84 @@ def write_glb(positions: np.ndarray, normals: np.ndarray, colours: np.ndarray, i
     return struct.pack("<4sII", b"glTF", 2, 12 + 8 + len(text) + 8 + len(blob)) + struct.pack("<I4s", len(text), b"JSON") + text + struct.pack("<I4s", len(blob), b"BIN\0") + blob
 
 
-def unwrap_b3dm(data: bytes) -> bytes:
-    """The binary glTF inside a batched model; anything else passes through."""
-    if data[:4] != b"b3dm" or len(data) < 28:
-        return data
-    return data[28 + sum(struct.unpack_from("<4I", data, 12)) :]
+def extrude_convex(xy: np.ndarray, base: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``extrude`` for many convex rings of the same number of points at once: (m, n, 2) to (m, 5 n, 3) positions and normals, and the triangles of each."""
+    m, n, _ = xy.shape
+    a, b = xy, np.roll(xy, -1, axis=1)
+    flip = (a[..., 0] * b[..., 1] - b[..., 0] * a[..., 1]).sum(1) < 0
+    a = np.where(flip[:, None, None], xy[:, ::-1], xy)
+    b = np.roll(a, -1, axis=1)
+    d = b - a
+    length = np.hypot(d[..., 0], d[..., 1])
+    positions, normals = np.empty((m, 5 * n, 3)), np.zeros((m, 5 * n, 3))
+    positions[:, :n, :2], positions[:, :n, 2], normals[:, :n, 2] = a, top[:, None], 1.0
+    quads = positions[:, n:].reshape(m, n, 4, 3)
+    quads[:, :, (0, 3), :2], quads[:, :, (1, 2), :2] = a[:, :, None], b[:, :, None]
+    quads[:, :, :2, 2], quads[:, :, 2:, 2] = base[:, None, None], top[:, None, None]
+    walls = normals[:, n:].reshape(m, n, 4, 3)
+    walls[..., 0], walls[..., 1] = (d[..., 1] / length)[..., None], (-d[..., 0] / length)[..., None]
+    roof = np.array([(0, k, k + 1) for k in range(1, n - 1)]).ravel()
+    return positions, normals, np.concatenate((roof, (n + 4 * np.arange(n)[:, None] + np.array([0, 1, 2, 0, 2, 3])).ravel()))
+
+
+def _all_convex(xy: np.ndarray) -> np.ndarray:
+    """Which of many rings of the same number of points turn to one side only, once round, along edges that are not tiny."""
+    a = np.roll(xy, -1, axis=1) - xy
+    b = np.roll(a, -1, axis=1)
+    turn = np.arctan2(a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0], (a * b).sum(2))
+    one_way = (turn > 1e-9).all(1) | (turn < -1e-9).all(1)
+    return one_way & (np.abs(np.abs(turn.sum(1)) - 2 * math.pi) < 1e-6) & (np.hypot(a[..., 0], a[..., 1]) > 1e-6).all(1)
 
 
 def part_meshes(parts: DataFrame) -> DataFrame:
     """The mesh of each building part (col, row, id, rings, base, height), where the part lies: a narrow pass.
 
     Columns: col, row, id, vertices, triangles, and positions, normals (64-bit floats) and indices (64-bit) as bytes, shade.
+    Convex parts without holes are meshed all at once for each number of corners, others one by one.
     """
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            made = [extrude([np.array([(q["x"], q["y"]) for q in r], float) for r in rings], base, height) for rings, base, height in zip(g["rings"], g["base"], g["height"], strict=True)]
-            columns = {k: [m[i].tobytes() for m in made] for i, k in enumerate(("positions", "normals", "indices"))}
-            shade = g["height"].add(90).clip(90, 220).astype(int)
-            yield pd.DataFrame({"col": g["col"], "row": g["row"], "id": g["id"], "vertices": [len(m[0]) for m in made], "triangles": [len(m[2]) // 3 for m in made], **columns, "shade": shade})
-
-    return parts.mapInPandas(build, "col long, row long, id long, vertices long, triangles long, positions binary, normals binary, indices binary, shade int")
+    names = ["col", "row", "id", "vertices", "triangles", "positions", "normals", "indices", "shade"]
+
+    def batch_of(keys: list, vertices: np.ndarray, triangles: np.ndarray, data: list, shade: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys, pa.array(vertices, pa.int64()), pa.array(triangles, pa.int64()), *data, pa.array(shade, pa.int32())], names)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {f: batch.column(k) for k, f in enumerate(batch.schema.names)}
+            rings = column["rings"]
+            first = np.asarray(rings.offsets) - rings.offsets[0].as_py()
+            inner = rings.flatten()
+            at = np.asarray(inner.offsets) - inner.offsets[0].as_py()
+            points = inner.flatten()
+            xy = np.column_stack([np.asarray(points.field(c), float) for c in ("x", "y")])
+            base, height = np.asarray(column["base"], float), np.asarray(column["height"], float)
+            shade = np.clip(height + 90, 90, 220).astype(np.int32)
+            alone = np.diff(first) == 1
+            corners = np.where(alone, (at[first[:-1] + alone] - at[first[:-1]]), 0)
+            slow = np.ones(batch.num_rows, bool)
+            keys = lambda rows, column=column: [column[c].take(pa.array(rows)) for c in ("col", "row", "id")]
+            for n in np.unique(corners[corners > 2]).tolist():
+                rows = np.flatnonzero(corners == n)
+                shape = xy[at[first[rows]][:, None] + np.arange(n)]
+                fit = _all_convex(shape)
+                rows, shape = rows[fit], shape[fit]
+                if not len(rows):
+                    continue
+                slow[rows] = False
+                p, normal, tri = extrude_convex(shape, base[rows], base[rows] + height[rows])
+                m = len(rows)
+                packed = lambda v, m=m: pa.BinaryArray.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * (v.nbytes // m)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))])
+                yield batch_of(keys(rows), np.full(m, 5 * n), np.full(m, len(tri) // 3), [packed(p), packed(normal), packed(np.tile(tri.astype(np.int64), (m, 1)))], shade[rows])
+            rows = np.flatnonzero(slow)
+            if len(rows):
+                made = [extrude([xy[at[k] : at[k + 1]] for k in range(first[r], first[r + 1])], base[r], height[r]) for r in rows.tolist()]
+                data = [pa.array([m[i].tobytes() for m in made], pa.binary()) for i in range(3)]
+                yield batch_of(keys(rows), np.array([len(m[0]) for m in made]), np.array([len(m[2]) // 3 for m in made]), data, shade[rows])
+
+    point = "array<array<struct<x:double,y:double>>>"
+    typed = parts.select(*[F.col(c).cast("long").alias(c) for c in ("col", "row", "id")], F.col("rings").cast(point).alias("rings"), F.col("base").cast("double").alias("base"), F.col("height").cast("double").alias("height"))
+    return typed.mapInArrow(build, "col long, row long, id long, vertices long, triangles long, positions binary, normals binary, indices binary, shade int")
 
 
 def cell_meshes(parts: DataFrame, most_vertices: int = 60_000) -> DataFrame:

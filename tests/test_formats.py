@@ -5,9 +5,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import meshes as M
-from tessera.sources import geojson, terrain, tileset
+from tessera.sources import content, geojson, terrain, tileset
 
 
 def test_geojson_geometries(spark, tmp_path):
@@ -90,7 +91,8 @@ def test_cells_to_glb_and_tileset(spark, tmp_path):
     doc = json.loads(glb[20 : 20 + n])
     assert kind == b"JSON" and doc["accessors"][0]["count"] == 20 and doc["accessors"][3]["componentType"] == 5123
     wrapped = b"b3dm" + struct.pack("<6I", 1, 0, 3, 0, 2, 0) + b"abcde" + glb
-    assert M.unwrap_b3dm(wrapped) == glb and M.unwrap_b3dm(glb) == glb
+    bare = spark.createDataFrame([(1, wrapped), (2, glb), (3, b"b3dm"), (4, None)], "id int, data binary").select("id", content.unwrapped(F.col("data")).alias("data"))
+    assert {r["id"]: r["data"] and bytes(r["data"]) for r in bare.collect()} == {1: glb, 2: glb, 3: b"b3dm", 4: None}
     named = cells.selectExpr("concat(col, '_', row, '.glb') name", "glb")
     M.write_files(named, str(tmp_path), "name", "glb")
     assert (tmp_path / "1_0.glb").read_bytes() == glb
