@@ -3,7 +3,7 @@
 Each source gets a repetition rate, its share of the target over its share of
 the corpus; each document draws its number of copies from the Poisson
 distribution with that mean, by inverting the distribution function at a
-uniform number that a hash of seed and id gives; with ``in_parts`` a mean above
+uniform number that a hash of seed and id gives; a mean above
 ``MAX_RATE`` is split into equal means, each inverted at a uniform number of its own, and the
 counts are added.  The copies are exploded and dealt out in the order of a hash
 of seed, id and copy number.  The same seed
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.staging import Staging
 
-#: Means above this are drawn in parts or refused: exp(-mean) would leave the range of doubles.
+#: Means above this are drawn in parts, or refused on request: exp(-mean) would leave the range of doubles.
 MAX_RATE = 500.0
 
 
@@ -83,7 +83,7 @@ def poisson_mix(
     seed: int = 17,
     max_broadcast: int = 10_000,
     lots: int = 64,
-    in_parts: bool = False,
+    in_parts: bool = True,
 ) -> DataFrame:
     """The mixture: the columns of ``df``, ``n_copies``, ``copy`` (from 1) and ``shuffle_key``, in shuffled order.
 
@@ -91,8 +91,8 @@ def poisson_mix(
     counts 1).  A null source is a source.  Rows with one id draw alike, so a
     repeated row has as many copies each time; a null id draws as 'null'.
     Documents that draw 0 are not in the mixture.  An empty table gives an empty
-    one.  A rate above 500 is drawn as the sum of equal parts with ``in_parts``, else
-    it raises an error, as does a clash of column names.
+    one.  A rate above 500 is drawn as the sum of equal parts; without ``in_parts``
+    it raises an error, as a clash of column names always does.
     """
     clash = {"n_copies", "copy", "shuffle_key"} & set(df.columns)
     if clash:

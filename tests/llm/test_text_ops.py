@@ -329,7 +329,8 @@ def test_mixing_edges(spark):
     with pytest.raises(ValueError):
         poisson_mix(df.withColumnRenamed("text", "copy"), text_col="copy")
     with pytest.raises(Exception, match="repetition rate"):
-        poisson_mix(df, volume=5000.0).count()
+        poisson_mix(df, volume=5000.0, in_parts=False).count()
+    assert poisson_mix(df, volume=5000.0).count() > 5000
 
 
 # ---- toxicity
