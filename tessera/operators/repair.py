@@ -115,6 +115,25 @@ def _extent(ring: np.ndarray) -> float:
     return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
 
 
+def _turns_left(ring: np.ndarray) -> bool:
+    (ax, ay), (bx, by), (cx, cy) = ring[:3].tolist()
+    return (bx - ax) * (cy - ay) > (by - ay) * (cx - ax)
+
+
+def is_convex(ring: np.ndarray) -> bool:
+    """Whether a ring turns to one side only, by more than rounding, and once round."""
+    points = ring.tolist()
+    around = list(zip(points[-2:] + points, points[-1:] + points, points, strict=False))
+    turns = [(bx - ax) * (cy - by) - (by - ay) * (cx - bx) for (ax, ay), (bx, by), (cx, cy) in around]
+    least = 1e-9 * max(map(abs, turns))
+    if not (min(turns) > least or max(turns) < -least):
+        return False
+    # Once round: the direction along x changes its sign twice.
+    steps = [q[0] - p[0] for p, q in zip(points, points[1:] + points[:1], strict=True)]
+    signs = [s > 0 for s in steps if s]
+    return sum(a != b for a, b in zip(signs, signs[1:] + signs[:1], strict=True)) == 2
+
+
 def _inside(point: Point, ring: list[Point]) -> bool:
     """Whether a point that is no vertex of it lies in a ring; whole numbers keep the sides exact."""
     x, y = point
@@ -147,6 +166,9 @@ def repair_polygon(rings: list[np.ndarray]) -> tuple[list[list[np.ndarray]], boo
 
     Outer rings run counter-clockwise, holes clockwise.  Rings of fewer than three points or without area are dropped.
     """
+    if len(rings) == 1 and len(rings[0]) > 2 and is_convex(rings[0]):  # most footprints: nothing can cross
+        ring = rings[0]
+        return [[ring if _turns_left(ring) else ring[::-1]]], False
     given = [r for r in rings if len(r) > 2]
     if not given:
         return [], bool(rings)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.staging import Staging
+
 GEOMETRY = "struct<type:string,coordinates:string,geometries:string>"
 
 
@@ -47,22 +49,25 @@ def lines(df: DataFrame) -> DataFrame:
     return df.where(F.col("type").isin("LineString", "MultiLineString")).withColumn("line", F.explode(cut)).drop("coordinates", "geometries")
 
 
-def polygons(df: DataFrame, depth: int = 4) -> DataFrame:
+def polygons(df: DataFrame) -> DataFrame:
     """One row per polygon, of collections too; ``rings`` is an array of arrays of (x, y), outer first.
 
-    Other types give nothing.  Collections nested deeper than ``depth`` raise an error: ask for more.
+    Other types give nothing.  Collections may be nested to any depth: each round opens those of one level, until none is left.
     """
+    staging = Staging(df.sparkSession, "polygons")
     rest = [c for c in df.columns if c not in ("type", "coordinates", "geometries")]
-    here, out = df.select(*rest, "type", "coordinates", "geometries"), None
-    for level in range(depth + 1):
-        text = F.col("coordinates")
-        one = F.when(F.col("type") == "Polygon", F.array(F.from_json(text, "array<array<array<string>>>")))
-        many = F.when(F.col("type") == "MultiPolygon", F.from_json(text, "array<array<array<array<string>>>>"))
+    text = F.col("coordinates")
+    one = F.when(F.col("type") == "Polygon", F.array(F.from_json(text, "array<array<array<string>>>")))
+    many = F.when(F.col("type") == "MultiPolygon", F.from_json(text, "array<array<array<array<string>>>>"))
+
+    def direct(here: DataFrame) -> DataFrame:
         found = here.where(F.col("type").isin("Polygon", "MultiPolygon")).select(*rest, F.explode(F.coalesce(one, many)).alias("p"))
-        found = found.select(*rest, F.transform("p", _line).alias("rings")).where(F.size("rings") > 0)
-        out = found if out is None else out.unionByName(found)
-        if level < depth:
-            inner = here.where(F.col("type") == "GeometryCollection").select(*rest, F.explode(F.from_json("geometries", "array<struct<type:string,coordinates:string,geometries:string>>")).alias("g"))
-            here = inner.select(*rest, "g.type", "g.coordinates", "g.geometries")
-    deeper = here.where(F.col("type") == "GeometryCollection").select(*rest, F.raise_error(F.lit(f"collections are nested deeper than {depth}")).cast(out.schema["rings"].dataType).alias("rings"))
-    return out.unionByName(deeper)
+        return found.select(*rest, F.transform("p", _line).alias("rings")).where(F.size("rings") > 0)
+
+    out, level = direct(df), 0
+    nested = staging.keep(df.where("type = 'GeometryCollection'").select(*rest, "geometries"), "level0")
+    while nested.limit(1).count():
+        inner = nested.select(*rest, F.explode(F.from_json("geometries", "array<struct<type:string,coordinates:string,geometries:string>>")).alias("g")).select(*rest, "g.type", "g.coordinates", "g.geometries")
+        out, level = out.unionByName(direct(inner)), level + 1
+        nested = staging.keep(inner.where("type = 'GeometryCollection'").select(*rest, "geometries"), f"level{level}")
+    return out

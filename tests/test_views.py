@@ -71,10 +71,8 @@ def test_edges_of_pixels_and_queues(spark):
 
 def test_nested_collections_are_not_lost(spark):
     shape = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}
-    for _ in range(3):
-        shape = {"type": "GeometryCollection", "geometries": [shape]}
+    for _ in range(7):
+        shape = {"type": "GeometryCollection", "geometries": [shape, {"type": "Point", "coordinates": [1, 1]}, shape]} if _ == 6 else {"type": "GeometryCollection", "geometries": [shape]}
     doc = json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": shape}]})
     found = geojson.features(spark.createDataFrame([(doc,)], "d string"), "d")
-    assert geojson.polygons(found, depth=3).count() == 1
-    with pytest.raises(Exception, match="nested deeper"):
-        geojson.polygons(found, depth=2).collect()
+    assert geojson.polygons(found).count() == 2
