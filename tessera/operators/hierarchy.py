@@ -69,6 +69,40 @@ def in_view(west: Column, south: Column, east: Column, north: Column, vw: Column
     return (east >= vw) & (west <= ve) & (north >= vs) & (south <= vn)
 
 
+Box = tuple[Column, Column, Column, Column]
+
+
+def served(tiles: DataFrame, ranges: DataFrame | None, bounds: tuple[float, float, float, float] | None = None, origin: str = "south") -> DataFrame:
+    """The geographic tiles (z, x, y, ...) that a terrain server has: in a range of their level, and meeting its valid bounds.
+
+    Without ranges (no metadata) every tile counts as there; a level without ranges has none.  Without ``bounds`` (west, south, east, north) all meet them.
+    """
+    there = tiles if ranges is None else available(tiles, ranges)
+    if bounds is None:
+        return there
+    return there.where(in_view(*T.geo_bounds(F.col("x"), F.col("y"), F.col("z"), origin), *[F.lit(float(b)) for b in bounds]))
+
+
+def in_known_view(box: Box, view: Box) -> Column:
+    """``in_view``, true where the view is unknown (any side null)."""
+    unknown = view[0].isNull() | view[1].isNull() | view[2].isNull() | view[3].isNull()
+    return unknown | in_view(*box, *view)
+
+
+def box_overlap(box: Box, view: Box) -> Column:
+    """The common part (west, south, east, north) of two boxes as a struct, null if there is none or a side is unknown; touching boxes have one."""
+    west, south = F.greatest(box[0], view[0]), F.greatest(box[1], view[1])
+    east, north = F.least(box[2], view[2]), F.least(box[3], view[3])
+    known = box[0] + box[1] + box[2] + box[3] + view[0] + view[1] + view[2] + view[3]
+    return F.when(known.isNotNull() & (west <= east) & (south <= north), F.struct(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north")))
+
+
+def box_covers(coverage: Box, required: Box, slack: float = 1e-9) -> Column:
+    """Whether a coverage contains what is required, but for ``slack``: true if nothing is required (null), else false without a coverage."""
+    contains = (coverage[0] <= required[0] + slack) & (coverage[1] <= required[1] + slack) & (coverage[2] >= required[2] - slack) & (coverage[3] >= required[3] - slack)
+    return required[0].isNull() | F.coalesce(contains, F.lit(False))
+
+
 def finest_cover(points: DataFrame, tiles: DataFrame, least: int, most: int) -> DataFrame:
     """Each point (id, lng, lat) with the zoom of the finest XYZ tile among ``tiles`` that has it, or null."""
     z = F.explode(F.sequence(F.lit(least), F.lit(most)))

@@ -80,14 +80,16 @@ def settle_index(samples: DataFrame, scenario: str, order: str, quiet: Column, n
 
 
 def in_slots(df: DataFrame, group: str, order: Column, slots: int) -> DataFrame:
-    """``df`` with ``_slot``: the range of its group's values of ``order`` that a row lies in, of ``slots`` equal ones; -1 for null.
+    """``df`` with ``_slot``: which of about ``slots`` equally filled ranges of its group's values of ``order`` a row lies in; -1 for null.
 
-    Groups may hold most rows: windows over (group, slot) and sums of slots replace one over the group.
+    Groups may hold most rows: windows over (group, slot) and sums of slots replace one over the group.  Cuts are approximate
+    quantiles, so an outlier does not leave all others in one slot; rows of equal value share a slot.
     """
     value = order.cast("double")
-    ends = df.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    slot = F.coalesce(F.floor((value - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-9) * slots), F.lit(-1))
-    return df.join(ends, group, "left").withColumn("_slot", slot).drop("_lo", "_hi")
+    cuts = df.groupBy(group).agg(F.percentile_approx(value, [k / slots for k in range(1, slots)], 10 * slots).alias("_cuts"))
+    cuts = cuts.withColumnRenamed(group, "_of")
+    slot = F.when(value.isNull() | F.isnan(value), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < value)))
+    return df.join(cuts, F.col(group).eqNullSafe(F.col("_of")), "left").withColumn("_slot", F.coalesce(slot, F.lit(-1)).cast("long")).drop("_of", "_cuts")
 
 
 def suffix_max(df: DataFrame, group: str, order: list[str], value: str, out: str, slots: int = 64) -> DataFrame:
@@ -115,13 +117,32 @@ def sum_before(df: DataFrame, group: str, order: list[str], value: str, out: str
     return met.withColumns({out: F.col("_in") + F.col("_before"), whole: F.col("_whole")}).drop("_slot", "_in", "_before", "_whole")
 
 
-def stuck_gestures(samples: DataFrame, scenario: str, order: str, pose: list[str], near: float = 1e-3) -> DataFrame:
-    """(scenario, stuck): samples during a gesture whose pose is that of the sample before."""
-    w = Window.partitionBy(scenario).orderBy(order)
+def stuck_gestures(samples: DataFrame, scenario: str, order: str, pose: list[str], near: float = 1e-3, slots: int = 64) -> DataFrame:
+    """(scenario, stuck): samples during a gesture whose pose is that of the sample before.
+
+    A window goes over one slot of a scenario; the first sample of a slot is compared with the last of the slots before.
+    """
+    cut = in_slots(samples, scenario, F.col(order), slots)
+    inside = Window.partitionBy(scenario, "_slot").orderBy(order)
+    tails = cut.groupBy(scenario, "_slot").agg(F.max_by(F.struct(*pose), order).alias("_last"))
+    tails = tails.select(F.col(scenario).alias("_of"), F.col("_slot").alias("_at"), F.lag("_last").over(Window.partitionBy(scenario).orderBy("_slot")).alias("_carried"))
+    met = cut.join(tails, F.col(scenario).eqNullSafe(F.col("_of")) & (F.col("_slot") == F.col("_at")))
+    first = F.row_number().over(inside) == 1
     same = F.lit(True)
     for c in pose:
-        same = same & F.coalesce(F.abs(F.col(c) - F.lag(c).over(w)) < near, F.lit(False))
-    return samples.withColumn("_s", F.col("interacting") & same).groupBy(scenario).agg(F.count_if("_s").alias("stuck"))
+        before = F.when(first, F.col("_carried")[c]).otherwise(F.lag(c).over(inside))
+        same = same & F.coalesce(F.abs(F.col(c) - before) < near, F.lit(False))
+    return met.withColumn("_s", F.col("interacting") & same).groupBy(scenario).agg(F.count_if("_s").alias("stuck"))
+
+
+def watchdog(samples: DataFrame, actor: str, order: list[str], at: str, pose: str, limit: int) -> DataFrame:
+    """``samples`` with ``released``: whether the actor's pose has stood still for longer than ``limit`` before the sample.
+
+    Time counts from the last change of the pose; the first sample is a change.  One window over each actor, whose samples a device's own rate bounds.
+    """
+    w = Window.partitionBy(actor).orderBy(*order)
+    moved = F.when(~F.col(pose).eqNullSafe(F.lag(pose).over(w)) | (F.row_number().over(w) == 1), F.col(at))
+    return samples.withColumn("_moved", moved).withColumn("released", F.col(at) - F.max("_moved").over(w) > limit).drop("_moved")
 
 
 def grid_components(cells: DataFrame, value: str | None = None) -> DataFrame:

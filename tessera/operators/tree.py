@@ -75,31 +75,36 @@ def clone(nodes: DataFrame, root: int, first_id: int) -> DataFrame:
     return nodes.unionByName(made.select(*nodes.columns))
 
 
-def scene_rows(df: DataFrame, json_col: str, levels: int = 12) -> DataFrame:
-    """Nodes (id, parent, ordinal, name, type, show) of scene documents; unknown types are kept.
+def scene_rows(df: DataFrame, json_col: str) -> DataFrame:
+    """Nodes (id, parent, ordinal, name, type, show) of scene documents of any depth; unknown types are kept.
 
-    Documents with more than ``levels`` levels raise an error: ask for more.
+    One round for each level, until none has children; a null document gives no rows.
     """
+    staging = Staging(df.sparkSession, "scene")
     kind = "struct<id:bigint,name:string,type:string,show:boolean,children:array<string>>"
-    rows = df.select(F.explode(F.from_json(F.col(json_col), "array<string>")).alias("n")).select(F.lit(None).cast("bigint").alias("parent"), "n", F.lit(0).cast("long").alias("ordinal"))
-    out = None
-    for _ in range(levels):
-        parsed = rows.select("parent", "ordinal", F.from_json("n", kind).alias("s"))
+    rows = df.select(F.posexplode(F.from_json(F.col(json_col), "array<string>")).alias("ordinal", "n")).select(F.lit(None).cast("bigint").alias("parent"), "n", F.col("ordinal").cast("long").alias("ordinal"))
+    out, level = None, 0
+    while True:
+        parsed = staging.keep(rows.select("parent", "ordinal", F.from_json("n", kind).alias("s")), f"level{level}")
         here = parsed.select("s.id", "parent", "ordinal", "s.name", "s.type", "s.show")
         out = here if out is None else out.unionByName(here)
+        if not parsed.where("size(s.children) > 0").limit(1).count():
+            return out
         rows = parsed.select(F.col("s.id").alias("parent"), F.posexplode("s.children").alias("ordinal", "n")).select("parent", "n", F.col("ordinal").cast("long").alias("ordinal"))
-    deeper = F.raise_error(F.lit(f"a scene has more than {levels} levels"))
-    kinds = {f.name: f.dataType for f in out.schema.fields}
-    return out.unionByName(rows.select(*[(deeper if c == "id" else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]))
+        level += 1
 
 
-def scene_json(nodes: DataFrame, depth: int) -> DataFrame:
-    """One scene document (an array of root nodes) by folding children into parents, deepest level first."""
+def scene_json(nodes: DataFrame) -> DataFrame:
+    """One scene document (an array of root nodes) by folding children into parents, deepest level first.
+
+    A document is one value; so its text bounds what a scene may hold.
+    """
     up = with_ancestry(nodes).groupBy("id").agg((F.count("*") - 1).alias("depth"))
     rows = nodes.join(up, "id").withColumn("children", F.array().cast("array<string>"))
     own = F.to_json(F.struct("id", "name", "type", "show"))
     as_json = F.concat(F.regexp_replace(own, "[}]$", ""), F.lit(',"children":['), F.array_join("children", ","), F.lit("]}"))
-    for d in range(depth, 0, -1):
+    rows = Staging(nodes.sparkSession, "scene").keep(rows, "rows")
+    for d in range(rows.agg(F.max("depth")).first()[0] or 0, 0, -1):
         below = rows.where(F.col("depth") == d).groupBy(F.col("parent").alias("_p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", as_json.alias("j")))), lambda x: x["j"]).alias("_kids"))
         rows = rows.where(F.col("depth") < d).join(below, F.col("id") == F.col("_p"), "left").withColumn("children", F.coalesce("_kids", "children")).drop("_p", "_kids")
     return rows.groupBy().agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", as_json.alias("j")))), lambda x: x["j"]), ","), F.lit("]")).alias("scene"))

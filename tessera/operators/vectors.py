@@ -24,6 +24,12 @@ def clean_polygon(rings: Column) -> Column:
     return F.when(outer.isNotNull(), F.concat(F.array(outer), holes))
 
 
+def all_corners(outer: Column, holes: Column) -> Column:
+    """The corners of a polygon, those of its outer ring and then of its holes; null rings add none."""
+    alone = F.array(outer)
+    return F.flatten(F.array_compact(F.concat(alone, F.coalesce(holes, F.slice(alone, 1, 0)))))
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area; positive for counter-clockwise rings."""
     n = F.size(ring)

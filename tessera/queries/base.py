@@ -105,6 +105,16 @@ def TL(zoom: int, every: int = 1, rest: int = 0) -> str:
     return f"(SELECT DISTINCT {zoom} AS z, {s_tx('lng', zoom)} AS x, {s_ty('lat', zoom)} AS y FROM {P}{where})"
 
 
+def typed_tiles(spark: SparkSession, sf_dir: str, zoom: int, *types: str) -> DataFrame:
+    """The distinct XYZ tiles (z, x, y) of the points of some types of events: what a part of the users holds or sees."""
+    p = points(spark, sf_dir).where(F.col("event_type").isin(*types))
+    return p.select(F.lit(zoom).alias("z"), T.tile_x(F.col("lng"), F.lit(zoom)).alias("x"), T.tile_y(F.col("lat"), F.lit(zoom)).alias("y")).distinct()
+
+
+def TT(zoom: int, *types: str) -> str:
+    return f"(SELECT DISTINCT {zoom} AS z, {s_tx('lng', zoom)} AS x, {s_ty('lat', zoom)} AS y FROM {P} WHERE event_type IN ({', '.join(repr(t) for t in types)}))"
+
+
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of available tiles (z, start_x, end_x, start_y, end_y), derived from suppliers."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))

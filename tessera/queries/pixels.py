@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.operators import metrics as M
+from tessera.operators import overview as O
 from tessera.operators import pixels as X
 from tessera.queries.base import query, s_scaled, scaled, table
 
@@ -74,27 +74,26 @@ def pixel_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id % 10 AS view, (event_id % 9)::INTEGER AS z, count(*) FILTER (WHERE event_id * 7 % 400 < 160)::BIGINT AS tiny, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def tiny_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = F.col("event_id") * 7 % 400 < 160
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("view"), (F.col("event_id") % 9).cast("int").alias("z")).agg(F.count_if(small).alias("tiny"), F.count("*").alias("n"))
+    by = {"view": F.col("user_id") % 10, "z": (F.col("event_id") % 9).cast("int")}
+    return O.small_tiles(table(spark, sf_dir, "events"), by, F.col("event_id") * 7 % 400, 160)
 
 
 @query("SELECT user_id % 10 AS view, CASE WHEN event_id % 860 < 860 / 3.0 THEN 'upper' WHEN event_id % 860 < 1720 / 3.0 THEN 'middle' ELSE 'lower' END AS band, count(*)::BIGINT AS n, min(event_id * 7907 % 100000) AS nearest, max(event_id * 7907 % 100000) AS farthest, min(event_id % 9) AS coarsest, max(event_id % 9) AS finest FROM events GROUP BY ALL")
 def band_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, far, z = F.col("event_id") % 860, F.col("event_id") * 7907 % 100000, F.col("event_id") % 9
-    band = F.when(y < 860 / 3, "upper").when(y < 1720 / 3, "middle").otherwise("lower")
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("view"), band.alias("band")).agg(F.count("*").alias("n"), F.min(far).alias("nearest"), F.max(far).alias("farthest"), F.min(z).alias("coarsest"), F.max(z).alias("finest"))
+    return O.band_ranges(table(spark, sf_dir, "events"), {"view": F.col("user_id") % 10, "band": O.band(y, 860.0)}, far, z)
 
 
 @query(f"SELECT user_id % 10 AS view, max({s_scaled('value', 100)}) AS highest, max(event_id % 9) FILTER (WHERE event_type = 'click') AS deepest FROM events GROUP BY ALL")
 def observed_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy((F.col("user_id") % 10).alias("view")).agg(F.max(scaled(F.col("value"), 100)).alias("highest"), F.max(F.when(F.col("event_type") == "click", F.col("event_id") % 9)).alias("deepest"))
+    return O.observed_maxima(e, {"view": F.col("user_id") % 10}, scaled(F.col("value"), 100), F.col("event_id") % 9, F.col("event_type") == "click")
 
 
 @query("SELECT 'u' || (user_id % 50) AS cache, count(*)::BIGINT AS entries, sum(event_id * 613 % 90000 + 1000)::BIGINT AS bytes, count(*) FILTER (WHERE event_type = 'view')::BIGINT AS hits FROM events GROUP BY ALL")
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.groupBy(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("cache")).agg(F.count("*").alias("entries"), F.sum(F.col("event_id") * 613 % 90000 + 1000).alias("bytes"), F.count_if(F.col("event_type") == "view").alias("hits"))
+    return O.cache_sizes(e, F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")), F.col("event_id") * 613 % 90000 + 1000, F.col("event_type") == "view")
 
 
 @query("""SELECT scenario, count(*) FILTER (WHERE stuck)::BIGINT AS stuck FROM (SELECT 's' || (user_id % 12) AS scenario, event_id % 3 > 0 AND coalesce(abs(event_id // 50 % 7 - lag(event_id // 50 % 7) OVER w) < 1e-3, false) AS stuck
@@ -113,6 +112,4 @@ m AS (SELECT *, CASE WHEN pose IS DISTINCT FROM lag(pose) OVER w THEN t END AS m
 SELECT event_id, t - max(moved) OVER (PARTITION BY user_id ORDER BY t, event_id) > {_LIMIT} AS released FROM m""")
 def gesture_watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), (F.floor(F.col("event_id") / 3) % 4).alias("pose"))
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    moved = F.when(~F.col("pose").eqNullSafe(F.lag("pose").over(w)), F.col("t"))
-    return s.withColumn("_m", moved).select("event_id", (F.col("t") - F.max("_m").over(w) > _LIMIT).alias("released"))
+    return M.watchdog(s, "user_id", ["t", "event_id"], "t", "pose", _LIMIT).select("event_id", "released")

@@ -11,7 +11,7 @@ from tessera.operators import hierarchy as H
 from tessera.operators import pyramid as Y
 from tessera.operators import queueing as Q
 from tessera.operators import selection as S
-from tessera.queries.base import P, TL, A, V, availability, points, query, s_gx, s_gy, s_scaled, s_tx, s_ty, scaled, table, tiles, views
+from tessera.queries.base import P, TL, TT, A, V, availability, points, query, s_gx, s_gy, s_scaled, s_tx, s_ty, scaled, table, tiles, typed_tiles, views
 
 # ---- pyramid
 
@@ -54,16 +54,15 @@ def bbox_overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT view, {s_scaled('greatest(west, 0.0)', 100)} AS west, {s_scaled('greatest(south, -20.0)', 100)} AS south, {s_scaled('least(east, 60.0)', 100)} AS east, {s_scaled('least(north, 40.0)', 100)} AS north
 FROM {V()} WHERE greatest(west, 0.0) < least(east, 60.0) AND greatest(south, -20.0) < least(north, 40.0)""")
 def bbox_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = views(spark, sf_dir)
-    cut = v.select("view", F.greatest("west", F.lit(0.0)).alias("west"), F.greatest("south", F.lit(-20.0)).alias("south"), F.least("east", F.lit(60.0)).alias("east"), F.least("north", F.lit(40.0)).alias("north"))
-    return cut.where("west < east and south < north").select("view", *[scaled(F.col(c), 100).alias(c) for c in ("west", "south", "east", "north")])
+    mine = tuple(map(F.col, ("west", "south", "east", "north")))
+    cut = views(spark, sf_dir).select("view", H.box_overlap(mine, tuple(F.lit(float(v)) for v in (0, -20, 60, 40))).alias("b")).where("b.west < b.east and b.south < b.north")
+    return cut.select("view", *[scaled(F.col(f"b.{c}"), 100).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query(f"SELECT view, west >= -0.25 - 1e-9 AND east <= 90.25 + 1e-9 AND south >= -30 - 1e-9 AND north <= 30 + 1e-9 AS inside FROM {V()}")
 def coverage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = 1e-9
-    inside = (F.col("west") >= -0.25 - e) & (F.col("east") <= 90.25 + e) & (F.col("south") >= -30 - e) & (F.col("north") <= 30 + e)
-    return views(spark, sf_dir).select("view", inside.alias("inside"))
+    coverage = tuple(F.lit(float(v)) for v in (-0.25, -30, 90.25, 30))
+    return views(spark, sf_dir).select("view", H.box_covers(coverage, tuple(map(F.col, ("west", "south", "east", "north")))).alias("inside"))
 
 
 # ---- joins over availability and hierarchy
@@ -87,22 +86,22 @@ def nearest_available_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.nearest_available(_wanted(spark, sf_dir), availability(spark, sf_dir)).select("event_id", "z", "x", "y", "rz", "rx", "ry")
 
 
-@query(f"""WITH l AS (SELECT * FROM {TL(8, 5, 0)} UNION SELECT * FROM {TL(5, 7, 1)}), o AS (SELECT * FROM {TL(6, 11, 3)})
+@query(f"""WITH l AS (SELECT * FROM {TL(8)} UNION SELECT * FROM {TL(5)}), o AS (SELECT * FROM {TT(6, 'error')})
 SELECT DISTINCT l.z::INTEGER AS z, l.x, l.y FROM l, o WHERE (o.z > l.z AND (o.x >> (o.z - l.z)::INTEGER) = l.x AND (o.y >> (o.z - l.z)::INTEGER) = l.y)
 OR (l.z > o.z AND (l.x >> (l.z - o.z)::INTEGER) = o.x AND (l.y >> (l.z - o.z)::INTEGER) = o.y)""")
 def ancestor_descendant_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    loaded = tiles(spark, sf_dir, 8, 5, 0).union(tiles(spark, sf_dir, 5, 7, 1)).distinct()
-    return H.related(loaded, tiles(spark, sf_dir, 6, 11, 3))
+    loaded = tiles(spark, sf_dir, 8).union(tiles(spark, sf_dir, 5)).distinct()
+    return H.related(loaded, typed_tiles(spark, sf_dir, 6, "error"))
 
 
-@query(f"SELECT z::INTEGER AS z, x, y FROM {TL(7, 2, 0)} WHERE (x, y) IN (SELECT (x, y) FROM {TL(7, 3, 0)})")
+@query(f"SELECT z::INTEGER AS z, x, y FROM {TL(7)} WHERE (x, y) IN (SELECT (x, y) FROM {TT(7, 'view', 'click')})")
 def visible_loaded_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles(spark, sf_dir, 7, 2, 0).join(tiles(spark, sf_dir, 7, 3, 0), ["z", "x", "y"], "left_semi")
+    return tiles(spark, sf_dir, 7).join(typed_tiles(spark, sf_dir, 7, "view", "click"), ["z", "x", "y"], "left_semi")
 
 
-@query(f"SELECT z::INTEGER AS z, x, y FROM {TL(7, 2, 0)} WHERE (x, y) NOT IN (SELECT (x, y) FROM {TL(7, 3, 0)})")
+@query(f"SELECT z::INTEGER AS z, x, y FROM {TL(7)} WHERE (x, y) NOT IN (SELECT (x, y) FROM {TT(7, 'view', 'click')})")
 def missing_tiles_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles(spark, sf_dir, 7, 2, 0).join(tiles(spark, sf_dir, 7, 3, 0), ["z", "x", "y"], "left_anti")
+    return tiles(spark, sf_dir, 7).join(typed_tiles(spark, sf_dir, 7, "view", "click"), ["z", "x", "y"], "left_anti")
 
 
 @query(f"""SELECT 5 AS z, p.x, p.y, coalesce(max(CASE WHEN c.x % 2 = 0 AND c.y % 2 = 0 THEN 1 END), 0)::INTEGER AS nw, coalesce(max(CASE WHEN c.x % 2 = 1 AND c.y % 2 = 0 THEN 1 END), 0)::INTEGER AS ne,
@@ -216,9 +215,10 @@ def fallback_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.ancestors(tiles(spark, sf_dir, 7), 6).select(F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
 
 
-@query(f"SELECT z::INTEGER AS z, x, y FROM (SELECT z, x, y FROM {TL(6, 2, 0)} UNION SELECT z, x, y FROM {TL(6, 5, 1)}) EXCEPT SELECT z, x, y FROM {TL(6, 3, 0)}")
+@query(f"SELECT z::INTEGER AS z, x, y FROM (SELECT z, x, y FROM {TT(6, 'view')} UNION SELECT z, x, y FROM {TT(6, 'click', 'signup')}) EXCEPT SELECT z, x, y FROM {TT(6, 'error')}")
 def union_except_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiles(spark, sf_dir, 6, 2, 0).union(tiles(spark, sf_dir, 6, 5, 1)).distinct().join(tiles(spark, sf_dir, 6, 3, 0), ["z", "x", "y"], "left_anti")
+    seen = typed_tiles(spark, sf_dir, 6, "view").union(typed_tiles(spark, sf_dir, 6, "click", "signup")).distinct()
+    return seen.join(typed_tiles(spark, sf_dir, 6, "error"), ["z", "x", "y"], "left_anti")
 
 
 # ---- requests, queues, caches

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions import parsing as G
 from tessera.operators import metrics as M
+from tessera.operators import overview as O
 from tessera.operators import tree as R
 from tessera.operators import vectors as W
 from tessera.queries.base import P, degrees_of, points, query, s_degrees, s_scaled, scaled, table
@@ -133,7 +134,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT z, count(*) FILTER (WHERE NOT backup)::BIGINT AS visible, count(*) FILTER (WHERE backup)::BIGINT AS backups, count(*) FILTER (WHERE state = 'loaded')::BIGINT AS drawn, min(far)::BIGINT AS nearest FROM {_ST} GROUP BY z")
 def zoom_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _states(spark, sf_dir).groupBy("z").agg(F.count_if(~F.col("backup")).alias("visible"), F.count_if("backup").alias("backups"), F.count_if(F.col("state") == "loaded").alias("drawn"), F.min("far").alias("nearest"))
+    return O.zoom_legend(_states(spark, sf_dir), F.col("z"), F.col("backup"), F.col("state") == "loaded", F.col("far"))
 
 
 @query(f"""SELECT view, count(*) FILTER (WHERE state = 'loaded')::BIGINT AS loaded, count(*) FILTER (WHERE state IN ('pending', 'loading'))::BIGINT AS pending, count(*) FILTER (WHERE state = 'failed')::BIGINT AS failed,

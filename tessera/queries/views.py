@@ -10,9 +10,10 @@ from tessera.functions import lod as L
 from tessera.functions import parsing as G
 from tessera.functions import tiling as T
 from tessera.operators import hierarchy as H
+from tessera.operators import overview as O
 from tessera.operators import queueing as Q
 from tessera.operators import triangles as R
-from tessera.queries.base import P, TL, V, points, query, s_scaled, s_tx, s_ty, scaled, table, tiles, views
+from tessera.queries.base import P, TL, V, points, query, s_gx, s_gy, s_scaled, s_tx, s_ty, scaled, table, tiles, views
 
 # Each event has the tile of zoom 8 it lies in and a camera south of it, in metres of the Mercator plane.
 _HALF = 20037508.342789244
@@ -135,7 +136,7 @@ def expanded_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CASE WHEN greatest(least(event_id % 24 - 1, 19), 1) < event_id % 5 + 6 THEN 'overview' ELSE 'detail' END AS layer FROM events")
 def layer_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     zoom = F.greatest(F.least(F.col("event_id") % 24 - 1, F.lit(19)), F.lit(1))
-    return table(spark, sf_dir, "events").select("event_id", F.when(zoom < F.col("event_id") % 5 + 6, "overview").otherwise("detail").alias("layer"))
+    return table(spark, sf_dir, "events").select("event_id", O.layer_for(zoom, F.col("event_id") % 5 + 6).alias("layer"))
 
 
 # The canvas of a geographic tile of zoom z in imagery of level l is 256 * 2 ** l pixels a turn wide.
@@ -144,11 +145,11 @@ _py = lambda lat: f"((1 - ln(tan(radians(greatest(least({lat}, 85.05112878), -85
 
 
 @query(f"""WITH g AS (SELECT x, y, l, floor((e - w) / 360.0 * 256 * (1::BIGINT << l::INTEGER) + 0.5) AS cw, floor(({_py('s')} - {_py('n')}) * 256 * (1::BIGINT << l::INTEGER) + 0.5) AS ch FROM
-  (SELECT x, y, {_b[0]} AS w, {_b[1]} AS s, {_b[2]} AS e, {_b[3]} AS n FROM (SELECT unnest(range(0, 64)) AS x), (SELECT unnest(range(0, 32)) AS y)), (SELECT unnest(range(5, 13)) AS l))
+  (SELECT x, y, {_b[0]} AS w, {_b[1]} AS s, {_b[2]} AS e, {_b[3]} AS n FROM (SELECT DISTINCT {s_gx('lng', 5)} AS x, {s_gy('lat', 5, 'south')} AS y FROM {P})), (SELECT unnest(range(5, 13)) AS l))
 SELECT x, y, coalesce(max(l) FILTER (WHERE cw <= 2048 AND ch <= 2048), 5)::INTEGER AS level FROM g GROUP BY x, y""")
 def imagery_level_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.lit(5)
-    g = spark.range(64 * 32).select((F.col("id") % 64).alias("x"), F.floor(F.col("id") / 64).alias("y"))
+    g = points(spark, sf_dir).select(T.geo_x(F.col("lng"), z).alias("x"), T.geo_y(F.col("lat"), z, "south").alias("y")).distinct()
     w, s, e, n = T.geo_bounds(F.col("x"), F.col("y"), z, "south")
     g = g.select("x", "y", w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
     return g.select("x", "y", L.fitting_imagery_level(F.col("w"), F.col("s"), F.col("e"), F.col("n"), 5, 12, 2048).alias("level"))

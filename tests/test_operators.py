@@ -128,10 +128,8 @@ def test_tree_operations(spark):
     assert made[50] == 1 and made[51] == 50
     with pytest.raises(ValueError):
         tree.with_ancestry(spark.createDataFrame([(1, 2), (2, 1)], "id long, parent long"))
-    scene = tree.scene_json(df, 3)
-    again = tree.scene_rows(scene, "scene", 4)
-    with pytest.raises(Exception, match="more than 2 levels"):
-        tree.scene_rows(scene, "scene", 2).collect()
+    scene = tree.scene_json(df)
+    again = tree.scene_rows(scene, "scene")
     assert sorted(map(tuple, again.select(*df.columns).collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
 
 
