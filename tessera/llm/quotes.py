@@ -17,7 +17,8 @@ conversation if possible, the latest if there are several.
 1. Messages are parsed once, in a narrow pass, and staged.
 2. The first unit of each quoted run is its anchor.  Messages' units are joined
    to the anchors (units that very many messages have are joined by broadcast),
-   and only at these places runs are hashed, of the lengths wanted there.
+   and only at these places runs are hashed, of the lengths wanted there, each from two
+   hashes of the message's beginnings.
 3. Run hashes are summed to their earliest message, per conversation and over
    all, before they are shuffled, and joined to the quoted runs.
 4. Threads are found by doubling: each message holds its topmost known ancestor
@@ -96,9 +97,31 @@ def unit_hash(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+#: Run hashes are polynomials in this base modulo a prime of 127 bits; both are fixed, so that hashes of all tasks agree.
+BASE, PRIME = 0x5D588B656C07896553F3C1E2A96B1D27, (1 << 127) - 1
+
+
+class RunHashes:
+    """Hashes of any run of a sequence of unit hashes, in constant time each, from those of its beginnings."""
+
+    #: Powers of the base, as many as a process has needed so far.
+    powers = [1]
+
+    def __init__(self, hashes: list[int]):
+        self.before = [0]
+        for h in hashes:
+            # No unit counts as 0, so a run's length is part of its hash.
+            self.before.append((self.before[-1] * BASE + h + (1 << 63) + 1) % PRIME)
+        while len(self.powers) <= len(hashes):
+            self.powers.append(self.powers[-1] * BASE % PRIME)
+
+    def run(self, at: int, length: int) -> bytes:
+        return ((self.before[at + length] - self.before[at] * self.powers[length]) % PRIME).to_bytes(16, "little")
+
+
 def run_hash(hashes: list[int]) -> bytes:
-    """128 bits of a run of unit hashes."""
-    return xxhash.xxh3_128_digest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes))
+    """127 bits of a whole run of unit hashes."""
+    return RunHashes(hashes).run(0, len(hashes))
 
 
 def parse_messages(rows: DataFrame) -> DataFrame:
@@ -137,14 +160,21 @@ def _quoted_runs(parsed: DataFrame) -> DataFrame:
     return flat.mapInArrow(keyed, schema.schema)
 
 
+def runs_of(seqs: list[list[int]], at: list[dict], wanted: list[dict]) -> set[bytes]:
+    """The hashes of the runs of some sequences at places (seq, pos), of the ``lengths`` wanted for the unit ``first`` there."""
+    lengths = {w["first"]: w["lengths"] for w in wanted}
+    hashed = {k: RunHashes(seqs[k]) for k in {p["seq"] for p in at}}
+    return {hashed[p["seq"]].run(p["pos"], m) for p in at for m in lengths[seqs[p["seq"]][p["pos"]]] if p["pos"] + m <= len(seqs[p["seq"]])}
+
+
 def _runs_at(hits: DataFrame) -> DataFrame:
-    """(conv, turn, key) of the runs of ``hits`` (conv, turn, _seqs, at: (seq, pos, lengths) in an array)."""
+    """(conv, turn, key) of the runs of ``hits`` (conv, turn, _seqs, at: (seq, pos), wanted: (first, lengths), in arrays)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             take, keys = [], []
-            for k, (seqs, places) in enumerate(zip(column(batch, "_seqs").to_pylist(), column(batch, "at").to_pylist(), strict=True)):
-                found = {run_hash(seqs[p["seq"]][p["pos"] : p["pos"] + m]) for p in places for m in p["lengths"] if p["pos"] + m <= len(seqs[p["seq"]])}
+            for k, (seqs, places, wanted) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("_seqs", "at", "wanted")), strict=True)):
+                found = runs_of(seqs, places, wanted)
                 take += [k] * len(found)
                 keys += sorted(found)
             at = pa.array(take, pa.int64())
@@ -163,8 +193,9 @@ def find_origins(parsed: DataFrame, runs: DataFrame, staging: Staging, hot_share
     anchors = staging.keep(anchors.join(weights, "first"), "anchors")
     total = parsed.agg(F.coalesce(F.sum(F.aggregate("_seqs", F.lit(0), lambda n, s: n + F.size(s))), F.lit(0))).first()[0]
     met = left_join_hot(units, anchors, ["first"], "weight", max(2, total // hot_share), F.xxhash64("rid", "pos")).where("lengths is not null")
-    places = met.groupBy("rid").agg(F.collect_list(F.struct("seq", "pos", "lengths")).alias("at"))
-    hits = parsed.select("rid", "conv", "turn", "_seqs").join(places, "rid").select("conv", "turn", "_seqs", "at")
+    # A unit that a message repeats has its lengths there once.
+    places = met.groupBy("rid").agg(F.collect_list(F.struct("seq", "pos")).alias("at"), F.collect_set(F.struct("first", "lengths")).alias("wanted"))
+    hits = parsed.select("rid", "conv", "turn", "_seqs").join(places, "rid").select("conv", "turn", "_seqs", "at", "wanted")
     said = staging.keep(_runs_at(hits).groupBy("key", "conv").agg(F.min("turn").alias("turn")), "said")
     wanted = runs.select("key").distinct()
     return staging.keep(said.join(wanted, "key", "left_semi"), "origins")

@@ -4,12 +4,13 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import pandas as pd
 import pytest
 
 from tessera.llm.queries_quotes import LINKING_SQL, op1_quotation_linking
-from tessera.llm.quotes import link_quotations
+from tessera.llm.quotes import RunHashes, link_quotations, run_hash, runs_of
 from tessera.llm.warc import chunked, dechunked, digest32, inflated, page_records, parse_records, read_archives, record_id, write_archives
 from tests.conftest import SF
 from tests.helpers import duck_rows, rows_of
@@ -171,6 +172,17 @@ def test_random_quotations_equal_sql(spark):
     assert linked.where("n_linked > 0").count() > 40 and linked.where("parent_conv <> conv_id").count() > 5 and linked.where("depth > 2").count() > 0
 
 
+def test_runs_of_a_repeated_line_take_little_time():
+    rng = random.Random(3)
+    seq = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(40)]
+    every = RunHashes(seq)
+    assert all(every.run(a, n) == run_hash(seq[a : a + n]) for a in range(40) for n in range(1, 41 - a))
+    assert len({every.run(a, n) for a in range(40) for n in range(1, 41 - a)}) == 820
+    began = time.perf_counter()
+    found = runs_of([[7] * 5000], [{"seq": 0, "pos": k} for k in range(5000)], [{"first": 7, "lengths": list(range(1, 21))}])
+    assert len(found) == 20 and time.perf_counter() - began < 0.5
+
+
 def test_common_lines_are_dealt_out(spark):
     rows = [(c, t, "u", f"Hello\nsame\nnumber {c}" if t == 0 else "> hello\n> same\nyes") for c in range(30) for t in range(3)]
     df = spark.createDataFrame(rows, SCHEMA)
