@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +15,38 @@ def class_histogram(pixels: DataFrame, cls: str, height: Column) -> DataFrame:
     return pixels.groupBy(cls).agg(F.count("*").alias("n"), *bounds, *[F.count_if(third == k).alias(name) for k, name in enumerate(("upper", "middle", "lower"))])
 
 
-def window_median(pixels: DataFrame, value: str, radius: int = 20, step: int = 4, least: int = 20) -> DataFrame:
+def window_median(pixels: DataFrame, value: str, radius: int = 20, step: int = 4, least: int = 20, block: int = 64) -> DataFrame:
     """``pixels`` (x, y unique) with the upper median of ``value`` over a grid of samples around each.
 
     Samples lie at offsets from -radius to radius in steps; a pixel with fewer than ``least``
-    samples is left out.  Each pixel is dealt to the windows it is a sample of; a window has
-    at most ``(2 * radius / step + 1) ** 2`` samples.  Null values are no samples.
+    samples is left out.  The picture is cut into blocks of ``block`` pixels a side; a pixel is dealt to its own and to those whose
+    margin of ``radius`` it lies in, and the medians of a block's pixels are taken at once.  Null values are no samples.
     """
-    offsets = F.explode(F.sequence(F.lit(-radius), F.lit(radius), F.lit(step)))
-    spread = pixels.where(F.col(value).isNotNull()).select("x", "y", F.col(value).alias("_v")).withColumn("_dx", offsets).withColumn("_dy", offsets)
-    around = spread.select((F.col("x") - F.col("_dx")).alias("x"), (F.col("y") - F.col("_dy")).alias("y"), "_v")
-    samples = around.groupBy("x", "y").agg(F.array_sort(F.collect_list("_v")).alias("_s")).where(F.size("_s") >= least)
-    return pixels.join(samples, ["x", "y"]).withColumn("median", F.get("_s", F.floor(F.size("_s") / 2).cast("int"))).drop("_s")
+    kind = pixels.schema[value].dataType
+    exact = kind.typeName() in ("byte", "short", "integer", "long")
+    number, nothing = (np.int64, np.iinfo(np.int64).max) if exact else (np.float64, np.inf)
+    offsets = np.arange(-radius, radius + 1, step)
+
+    def medians(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        west, north = key[0] * block - radius, key[1] * block - radius
+        side = block + 2 * radius
+        held = np.full((side, side), nothing, number)
+        x, y = g["x"].to_numpy() - west, g["y"].to_numpy() - north
+        held[y, x] = g["v"].to_numpy()
+        inner = (x >= radius) & (x < radius + block) & (y >= radius) & (y < radius + block)
+        x, y = x[inner], y[inner]
+        samples = np.sort(held[(y[:, None, None] + offsets[None, :, None]), (x[:, None, None] + offsets[None, None, :])].reshape(len(x), len(offsets) ** 2), axis=1)
+        n = (samples != nothing).sum(1)
+        ok = (n >= least) & (n > 0)
+        return pd.DataFrame({"x": x[ok] + west, "y": y[ok] + north, "median": samples[np.flatnonzero(ok), n[ok] // 2]})
+
+    # Every place is asked about, so pixels without a value come along as no samples.
+    v = F.coalesce(F.col(value).cast("long" if exact else "double"), F.lit(nothing.item() if hasattr(nothing, "item") else nothing))
+    across = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / block), F.floor((F.col(c) + radius) / block)))
+    dealt = pixels.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), v.alias("v")).withColumn("_bx", across("x")).withColumn("_by", across("y"))
+    found = dealt.groupBy("_bx", "_by").applyInPandas(medians, f"x long, y long, median {'long' if exact else 'double'}")
+    at = found.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("median").cast(kind).alias("median"))
+    return pixels.join(at, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).drop("_x", "_y")
 
 
 def attribute(normal: Column, failed: Column, loading: Column, selected: Column, covered: Column, finer: Column) -> Column:

@@ -19,11 +19,14 @@ def bounds(vertices: DataFrame, by: list[str]) -> DataFrame:
 
 
 def building_top(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """``vertices`` with ``top``: the largest height of the triangles at each, 0 at least and for those in none."""
-    corners = triangles.select("mesh", F.posexplode(F.array("a", "b", "c")).alias("_k", "vertex"), "a", "b", "c")
-    high = corners.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), F.col("vertex").alias("to")).distinct()
-    lifted = high.join(vertices.select("mesh", "vertex", "z"), ["mesh", "vertex"]).groupBy("mesh", F.col("to").alias("vertex")).agg(F.greatest(F.max("z"), F.lit(0.0)).alias("top"))
-    return vertices.join(lifted, ["mesh", "vertex"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+    """``vertices`` with ``top``: the largest height of the triangles at each, 0 at least and for those in none.
+
+    A triangle asks for the heights of its corners, is summed to their largest, and gives this back to them.  Repeated triangles change nothing.
+    """
+    asked = triangles.select("mesh", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("vertex"))
+    highest = asked.join(vertices.select("mesh", "vertex", "z"), ["mesh", "vertex"]).groupBy("mesh", "a", "b", "c").agg(F.max("z").alias("high"))
+    given = highest.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), "high").groupBy("mesh", "vertex").agg(F.greatest(F.max("high"), F.lit(0.0)).alias("top"))
+    return vertices.join(given, ["mesh", "vertex"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
 
 
 def is_roof_edge(h0: Column, h1: Column, base: Column, flat: float = 0.05, above: float = 0.5) -> Column:

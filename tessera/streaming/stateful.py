@@ -1,7 +1,6 @@
-"""Custom state: moves, tile states with backoff, admission, and paced reveals.
+"""Custom state: moves, and tile states with backoff.
 
-State is kept per key; each key's state is a few numbers (admission: the
-requests in flight and waiting of one server).  Rows of a batch are taken in event time.
+State is kept per key; each key's state is a few numbers.  Rows of a batch are taken in event time.
 """
 
 from __future__ import annotations
@@ -56,61 +55,3 @@ def tile_states(results: DataFrame, first_s: int = 10, most_s: int = 160) -> Dat
         yield pd.DataFrame(out, columns=["key", "ts", "state", "attempts", "next_try"])
 
     return results.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, state string, attempts int, next_try timestamp", "n int, gone boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def admissions(events: DataFrame, cap: int = 6) -> DataFrame:
-    """Starts of requests under a cap for each server.
-
-    ``events`` has (server, ts, kind, id, priority): "request" asks, "done" ends one that
-    runs, "cancel" removes one that waits.  Output: (server, ts, id) of each start,
-    by (priority, id).  A cap over all servers would need one key; use one for each server.
-    """
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        running, waiting = (set(state.get[0]), [tuple(w) for w in zip(state.get[1], state.get[2], strict=True)]) if state.exists else (set(), [])
-        out = []
-        for ts, batch in _rows(parts, ["ts"]).groupby("ts"):
-            for r in batch.itertuples(index=False):
-                if r.kind == "request":
-                    waiting.append((int(r.priority), int(r.id)))
-                elif r.kind == "done":
-                    running.discard(int(r.id))
-                else:
-                    waiting = [w for w in waiting if w[1] != r.id]
-            waiting.sort()
-            while waiting and len(running) < cap:
-                _, i = waiting.pop(0)
-                running.add(i)
-                out.append((key[0], ts, i))
-        state.update((sorted(running), [p for p, _ in waiting], [i for _, i in waiting]))
-        yield pd.DataFrame(out, columns=["server", "ts", "id"])
-
-    return events.groupBy("server").applyInPandasWithState(run, "server string, ts timestamp, id long", "running array<long>, priority array<long>, id array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def reveals(ready: DataFrame, most: int = 4, credit_cap: float = 6.0, slot_ms: float = 60.0, starve_ms: float = 400.0) -> DataFrame:
-    """Tiles to reveal at each tick (view, tick_ms, waiting): a token bucket.
-
-    Credit grows by a token for each slot, ``min(slot_ms, 420 / waiting)`` long, up to ``credit_cap``;
-    a tick reveals ``most`` tiles at most, and one at least after ``starve_ms`` without any.
-    """
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        credit, before, last = state.get if state.exists else (0.0, None, None)
-        out = []
-        for r in _rows(parts, ["tick_ms"]).itertuples(index=False):
-            t, n = float(r.tick_ms), int(r.waiting)
-            last = t if last is None else last
-            if before is not None and n:
-                credit = min(credit_cap, credit + (t - before) / min(slot_ms, 420 / n))
-            show = min(n, most, int(credit))
-            if n and not show and t - last >= starve_ms:
-                show, credit = 1, 1.0
-            credit -= show
-            last = t if show else last
-            before = t
-            out.append((key[0], int(t), show))
-        state.update((credit, before, last))
-        yield pd.DataFrame(out, columns=["view", "tick_ms", "shown"])
-
-    return ready.groupBy("view").applyInPandasWithState(run, "view string, tick_ms long, shown int", "credit double, before double, last double", "append", GroupStateTimeout.NoTimeout)

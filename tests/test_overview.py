@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import hierarchy as H
 from tessera.operators import metrics as M
 from tessera.operators import overview as O
+from tessera.operators import pixels
 from tessera.operators import vectors as W
 from tessera.plans import components
 from tessera.plans.staging import Staging
@@ -82,3 +83,18 @@ def test_components_beyond_the_broadcast(spark, monkeypatch):
         root[max(x, y)] = min(x, y)
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), Staging(spark, "test"))
     assert dict(map(tuple, got.collect())) == {v: find(v) for v in root}
+
+
+def test_window_medians_across_blocks(spark):
+    rng = random.Random(5)
+    held = {(x, y): rng.choice([None, *range(9)]) for x in range(-30, 60) for y in range(-9, 40) if rng.random() < 0.8}
+    df = spark.createDataFrame([(x, y, v, "own") for (x, y), v in held.items()], "x int, y int, z int, note string")
+    got = {(r["x"], r["y"]): r["median"] for r in pixels.window_median(df, "z", 6, 2, 10, block=16).collect()}
+    want = {}
+    for x, y in held:
+        s = sorted(v for i in range(-6, 7, 2) for j in range(-6, 7, 2) if (v := held.get((x + i, y + j))) is not None)
+        if len(s) >= 10:
+            want[x, y] = s[len(s) // 2]
+    assert got == want and pixels.window_median(df.limit(0), "z").count() == 0
+    real = spark.createDataFrame([(0, 0, 1.5), (1, 0, 2.5)], "x int, y int, z double")
+    assert {r["median"] for r in pixels.window_median(real, "z", 1, 1, 2).collect()} == {2.5}

@@ -52,15 +52,3 @@ def test_tile_states(run):
     got = run(rows, "key string, ts timestamp, status int", stateful.tile_states, key=lambda r: (r[0], r[1]))
     assert [(r[0], r[2], r[3]) for r in got] == [("g", "failed", 0), ("g", "failed", 0), ("k", "waiting", 1), ("k", "waiting", 2), ("k", "loaded", 0), ("k", "waiting", 1)]
     assert got[3][4] == at(1) + dt.timedelta(seconds=20)
-
-
-def test_admissions(run):
-    rows = [("s", at(0), "request", i, 10 - i) for i in range(4)] + [("s", at(1), "cancel", 1, 0), ("s", at(2), "done", 3, 0)]
-    got = run(rows, "server string, ts timestamp, kind string, id long, priority long", lambda d: stateful.admissions(d, 2), key=lambda r: (r[1], r[2]))
-    assert got == [("s", at(0), 2), ("s", at(0), 3), ("s", at(2), 0)]
-
-
-def test_reveals(run):
-    rows = [("v", 0, 10), ("v", 60, 10), ("v", 120, 8), ("v", 130, 7), ("v", 1000, 7)]
-    got = run(rows, "view string, tick_ms long, waiting int", stateful.reveals, key=lambda r: r[1])
-    assert [r[2] for r in got] == [0, 1, 1, 0, 4]
