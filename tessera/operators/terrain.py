@@ -5,6 +5,8 @@ All of it is joins, explodes and windows over tables of views, vertices and tria
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +38,30 @@ def too_coarse(distance: Column, viewport: float, fov_deg: float, limit: float)
     return L.terrain_error(F.col("z").cast("double"), F.greatest(distance, F.lit(1.0)), F.lit(viewport), F.lit(fov_deg)) > limit
 
 
+def camera_figures(nodes: DataFrame, origin_lng: float, origin_lat: float, fov_deg: float, width: float, height: float, near: float, far: float, top: float = 0.0) -> DataFrame:
+    """Tiles with what a view's camera (structs ``eye`` and ``target`` in metres of the map's plane) says of each.
+
+    Adds ``seen``, whether the tile's box from the ground to ``top`` meets the frustum, and ``pixel_size``, ``visible_min`` and
+    ``reliable`` of its middle and corners on the ground; with them ``divided`` is the rule by which viewers subdivide.
+    """
+    west, south, east, north = map(F.col, BOUNDS)
+    x0, y0 = P.local_xy(west, south, origin_lng, origin_lat)
+    x1, y1 = P.local_xy(east, north, origin_lng, origin_lat)
+    told = C.with_basis(nodes.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1}))
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"))
+    a, b, c, d = map(F.col, ("_x0", "_y0", "_x1", "_y1"))
+    told = told.withColumn("_probes", F.array(at((a + c) / 2, (b + d) / 2), at(a, d), at(c, d), at(c, b), at(a, b)))
+    told = C.screen_size(told, "_probes", fov_deg, width / height, near, far, width, height).withColumn("_planes", C.frustum_planes(fov_deg, width / height, near, far))
+    seen = C.box_in_frustum(F.col("_planes"), (a, b, F.lit(0.0)), (c, d, F.lit(float(top))))
+    return told.withColumn("seen", seen).select(*nodes.columns, "seen", "pixel_size", "visible_min", "reliable")
+
+
+def divided(distance: Column, viewport: float, fov_deg: float, limit: float = 2.0, tile_pixels: float = 256.0) -> Column:
+    """Whether viewers subdivide a tile with ``camera_figures``: too coarse or too large, and no sliver on the screen."""
+    error = L.terrain_error(F.col("z").cast("double"), F.greatest(distance, F.lit(1.0)), F.lit(viewport), F.lit(fov_deg))
+    return C.shall_subdivide(error, limit, F.col("pixel_size"), F.col("visible_min"), F.col("reliable"), tile_pixels, F.lit(True))
+
+
 def best_first(parent: Column | None, mine: Column) -> Column:
     """The place of a node in a best-first search of a tree, as an array to sort by.
 
@@ -46,12 +72,12 @@ def best_first(parent: Column | None, mine: Column) -> Column:
     return F.array(mine) if parent is None else F.array_append(F.filter(parent, lambda e: e > mine), mine)
 
 
-def terrain_selection(views: DataFrame, ranges: DataFrame | None, distance: Column, keep: Column, divide: Column, min_zoom: int, max_zoom: int, most_tiles: int, virtual: bool = True, origin: str = "south") -> DataFrame:
+def terrain_selection(views: DataFrame, ranges: DataFrame | None, distance: Column, keep: Column, divide: Column, min_zoom: int, max_zoom: int, most_tiles: int, virtual: bool = True, origin: str = "south", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The terrain tiles that each view shows, with a budget for the tiles shown and the nodes looked at.
 
     ``views`` has (view, west, south, east, north) and any columns that the expressions use.
     ``distance``, ``keep`` and ``divide`` are columns over a view, (z, x, y) and the tile's bounds
-    (``tile_west`` ...).  From the tiles of ``min_zoom`` in the box, the nearest open node is taken (ties: the
+    (``tile_west`` ...), ``keep`` and ``divide`` also over ``d``, the distance, and what ``prepare`` adds to the nodes (``camera_figures``).  From the tiles of ``min_zoom`` in the box, the nearest open node is taken (ties: the
     smaller z, x, y); one not to ``keep`` ends there; one to ``divide`` opens its children if it is
     above ``max_zoom`` and available, or ``virtual``; any other is a leaf.  An unavailable leaf is shown
     as itself if ``virtual``; other leaves as their nearest available ancestor or not at all.
@@ -83,6 +109,7 @@ def terrain_selection(views: DataFrame, ranges: DataFrame | None, distance: Colu
         there = F.coalesce(F.col("rz") == F.col("z"), F.lit(False))
         unreal = F.lit(virtual and ranges is not None) & ~there
         can = (F.col("z") < max_zoom) & (there | unreal)
+        found = prepare(found) if prepare else found
         judged = found.withColumn("kept", F.coalesce(keep, F.lit(False))).withColumn("open", F.col("kept") & can & F.coalesce(divide, F.lit(False)))
         leaf = F.col("kept") & ~F.col("open")
         shown = F.when(leaf & unreal, F.struct("z", "x", "y")).when(leaf & F.col("rz").isNotNull(), F.struct(F.col("rz").alias("z"), F.col("rx").alias("x"), F.col("ry").alias("y")))

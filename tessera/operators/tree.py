@@ -75,6 +75,40 @@ def clone(nodes: DataFrame, root: int, first_id: int) -> DataFrame:
     return nodes.unionByName(made.select(*nodes.columns))
 
 
+def paste(nodes: DataFrame, root: int, parent: int, first_id: int, suffix: str = " copy") -> DataFrame:
+    """A deep copy of a subtree as the last child of ``parent``, its ids from ``first_id`` on, ``suffix`` added to the name of its root.
+
+    A copy into the subtree itself is allowed: it holds what was there before.
+    """
+    made = clone(nodes, root, first_id).join(nodes.select("id"), "id", "left_anti")
+    # The copy of the root is the one whose parent is no copy.
+    top = ~F.coalesce(F.col("parent") >= first_id, F.lit(False))
+    last = nodes.where(F.col("parent") == parent).agg(F.coalesce(F.max("ordinal") + 1, F.lit(0))).first()[0]
+    placed = made.withColumns({"name": F.when(top, F.concat("name", F.lit(suffix))).otherwise(F.col("name")), "ordinal": F.when(top, F.lit(last)).otherwise(F.col("ordinal")), "parent": F.when(top, F.lit(parent)).otherwise(F.col("parent"))})
+    return nodes.unionByName(placed.select(*[F.col(c).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns]))
+
+
+def shift(nodes: DataFrame, node: int, by: int) -> DataFrame:
+    """``node`` moved ``by`` places down among its siblings, or up if negative, to the first or last place at most; a root raises ValueError."""
+    at = renumber(nodes).where(F.col("id") == node).first()
+    if at is None or at["parent"] is None:
+        raise ValueError("no node with siblings of this number")
+    return move(nodes, node, at["parent"], max(0, at["ordinal"] + by))
+
+
+def next_name(nodes: DataFrame, base: str, kind: str) -> str:
+    """``base`` with the smallest number from 1 on that no node of the type ``kind`` has in its name."""
+    number = F.expr(f"try_cast(substring(name, {len(base) + 1}) AS bigint)")
+    used = nodes.where((F.col("type") == kind) & F.col("name").startswith(base)).select(number.alias("n"), "name").where((F.col("n") > 0) & (F.col("name") == F.concat(F.lit(base), F.col("n").cast("string")))).select("n").distinct()
+    free = used.select((F.col("n") + 1).alias("n")).union(nodes.sparkSession.range(1, 2).toDF("n")).join(used, "n", "left_anti")
+    return f"{base}{free.agg(F.min('n')).first()[0]}"
+
+
+def cleared(nodes: DataFrame, primitives: DataFrame, root: int, layer_col: str = "layer") -> DataFrame:
+    """``primitives`` without those of the layers at and below ``root``; those of other layers, or of none, stay."""
+    return primitives.join(subtree(nodes, root).select(F.col("id").alias("_gone")), F.col(layer_col) == F.col("_gone"), "left_anti")
+
+
 def scene_rows(df: DataFrame, json_col: str) -> DataFrame:
     """Nodes (id, parent, ordinal, name, type, show) of scene documents of any depth; unknown types are kept.
 

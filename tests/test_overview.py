@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import lod as L
+from tessera.operators import entities, pixels, tree
 from tessera.operators import hierarchy as H
 from tessera.operators import metrics as M
 from tessera.operators import overview as O
-from tessera.operators import pixels
 from tessera.operators import vectors as W
 from tessera.plans import components
 from tessera.plans.staging import Staging
@@ -98,3 +101,41 @@ def test_window_medians_across_blocks(spark):
     assert got == want and pixels.window_median(df.limit(0), "z").count() == 0
     real = spark.createDataFrame([(0, 0, 1.5), (1, 0, 2.5)], "x int, y int, z double")
     assert {r["median"] for r in pixels.window_median(real, "z", 1, 1, 2).collect()} == {2.5}
+
+
+def test_footprints_with_relief(spark):
+    df = spark.createDataFrame([(1000.0,), (0.0,), (None,)], "eye double")
+    view = lambda relief: df.select(L.view_footprint(F.col("eye"), F.lit(40.0), F.lit(60.0), F.lit(1.5), relief).alias("f")).collect()
+    flat, raised, above = view(0.0), view(200.0), view(5000.0)
+    assert [len(r["f"]) for r in flat] == [4, 0, 0] and [len(r["f"]) for r in raised] == [6, 0, 0] and len(above[0]["f"]) == 4
+    low, lifted = flat[0]["f"][0], raised[0]["f"][0]
+    assert lifted["up"] == 200 and abs(lifted["right"] - low["right"] * 0.8) < 1e-6 and abs(lifted["forward"] - low["forward"] * 0.8) < 1e-6
+    assert [tuple(p) for p in (raised[0]["f"][1], *raised[0]["f"][3:])] == [tuple(p) for p in flat[0]["f"]]
+
+
+def test_scene_edits(spark):
+    rows = [(1, None, 0, "root", "group"), (2, 1, 0, "Layer1", "vector"), (3, 1, 1, "Group1", "group"), (4, 3, 0, "Layer3", "vector"), (5, 1, 2, "Layer01", "vector"), (6, 1, 3, "Layerx", "group")]
+    nodes = spark.createDataFrame(rows, "id long, parent long, ordinal long, name string, type string")
+    assert tree.next_name(nodes, "Layer", "vector") == "Layer2" and tree.next_name(nodes, "Group", "group") == "Group2" and tree.next_name(nodes.limit(0), "Layer", "vector") == "Layer1"
+    pasted = {r["id"]: (r["parent"], r["ordinal"], r["name"]) for r in tree.paste(nodes, 3, 6, 100).collect()}
+    assert pasted[100] == (6, 0, "Group1 copy") and pasted[101] == (100, 0, "Layer3") and len(pasted) == 8 and pasted[3] == (1, 1, "Group1")
+    order = lambda df: [r["id"] for r in df.where("parent = 1").orderBy("ordinal").collect()]
+    assert order(tree.shift(nodes, 3, -1)) == [3, 2, 5, 6] and order(tree.shift(nodes, 3, 1)) == [2, 5, 3, 6] and order(tree.shift(nodes, 2, 99)) == [3, 5, 6, 2]
+    with pytest.raises(ValueError):
+        tree.shift(nodes, 1, 1)
+    held = spark.createDataFrame([(2, "a"), (4, "b"), (None, "c")], "layer long, what string")
+    assert {r["what"] for r in tree.cleared(nodes, held, 3).collect()} == {"a", "c"} and {r["what"] for r in tree.cleared(nodes, held, 1).collect()} == {"c"}
+
+
+def test_primitives_as_json(spark):
+    shape = "id string, kind string, points array<struct<x:double,y:double,z:double>>, style string"
+    df = spark.createDataFrame([("b", "Box", [(1.0, 2.0, 3.0)], '{"width":2.5,"color":"#fff"}'), ("l", "Polyline", [(0.0, 0.0, 0.0), (1.0, 1.0, 1.5)], None)], shape)
+    texts = {r["id"]: r["json"] for r in entities.primitive_json(df).collect()}
+    assert json.loads(texts["b"]) == {"primitiveType": "Box", "id": "b", "position": [1, 2, 3], "style": {"width": 2.5, "color": "#fff"}}
+    assert json.loads(texts["l"]) == {"primitiveType": "Polyline", "id": "l", "points": [[0, 0, 0], [1, 1, 1.5]], "style": {}}
+    back = {r["id"]: r for r in entities.primitive_rows(entities.primitive_json(df)).collect()}
+    assert [tuple(p) for p in back["b"]["points"]] == [(1, 2, 3)] and json.loads(back["b"]["style"])["width"] == 2.5 and back["l"]["kind"] == "Polyline"
+    odd = spark.createDataFrame([("no json",), ('{"primitiveType":"Cone","id":"c"}',), (None,)], "json string")
+    assert [r["kind"] for r in entities.primitive_rows(odd).collect()] == [None, None, None]
+    with pytest.raises(Exception, match="unknown kind"):
+        entities.primitive_json(df.withColumn("kind", F.lit("Cone"))).collect()

@@ -140,3 +140,33 @@ def test_skirts_close_the_ring(spark):
     assert walls == want and v.where("mesh = 9").count() == 1
     depth = spark.range(1).select(X.skirt_depth(F.lit(1e4), F.lit(12)), X.skirt_depth(F.lit(1.0), F.lit(2))).first()
     assert tuple(depth) == (40.0, 0.5)
+
+
+def test_selection_by_a_camera(spark):
+    """The camera's rules judged tile by tile, and the order of a heap over them."""
+    from tessera.functions import projection as P
+
+    eye, target = {"x": 0.0, "y": -900_000.0, "z": 700_000.0}, {"x": 0.0, "y": 0.0, "z": 0.0}
+    view = spark.createDataFrame([(5, -12.0, -9.0, 12.0, 9.0, eye, target)], "view long, west double, south double, east double, north double, eye struct<x:double,y:double,z:double>, target struct<x:double,y:double,z:double>")
+    figures = lambda df: X.camera_figures(df, 0.0, 0.0, 60.0, 1280.0, 860.0, 1000.0, 1e7)
+    cx, cy = P.local_xy((F.col("tile_west") + F.col("tile_east")) / 2, (F.col("tile_south") + F.col("tile_north")) / 2, 0.0, 0.0)
+    far = F.sqrt(F.pow(cx - F.col("eye.x"), 2) + F.pow(cy - F.col("eye.y"), 2) + F.pow(F.col("eye.z"), 2))
+    keep, divide = X.in_reach() & F.col("seen"), X.divided(F.col("d"), 860.0, 60.0, limit=16.0)
+    got = X.terrain_selection(view, None, far, keep, divide, 1, 6, 30, prepare=figures)
+    every = spark.range(1, 7).selectExpr("cast(id as int) z").selectExpr("z", "explode(sequence(0L, shiftleft(2L, z) - 1)) x").selectExpr("z", "x", "explode(sequence(0L, shiftleft(1L, z) - 1)) y")
+    near = every.where("abs((x + 0.5) / shiftleft(2L, z) * 360 - 180) < 200 / shiftleft(1, z) + 40 and abs((y + 0.5) / shiftleft(1L, z) * 180 - 90) < 200 / shiftleft(1, z) + 40")
+    told = figures(X.with_bounds(near.join(view.drop("z")), "south").withColumn("d", far))
+    known = {(r["z"], r["x"], r["y"]): (r["d"], r["k"], r["v"]) for r in told.select("z", "x", "y", "d", keep.alias("k"), divide.alias("v")).collect()}
+    heap = [(*known[1, x, y][:1], 1, x, y) for x in (1, 2) for y in (0, 1)]
+    heapq.heapify(heap)
+    want, visited = [], 0
+    while heap and visited < 1024 and len(want) < 30:
+        _, z, x, y = heapq.heappop(heap)
+        visited += 1
+        d, kept, split = known[z, x, y]
+        if kept and split and z < 6:
+            for k in ((z + 1, 2 * x + i, 2 * y + j) for i in (0, 1) for j in (0, 1)):
+                heapq.heappush(heap, (known[k][0], *k))
+        elif kept:
+            want.append((z, x, y))
+    assert [(r["z"], r["x"], r["y"]) for r in got.orderBy("place").collect()] == want and len({z for z, *_ in want}) > 1
