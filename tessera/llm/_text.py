@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -49,3 +52,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+#: The one large thing that a Python process keeps from task to task, by name.
+_KEPT: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What this process keeps under ``name``, made if it keeps nothing or something else.
+
+    Workers outlive their tasks and stages: a tokenizer with its caches would stay while other stages run.
+    """
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Gives back what an earlier stage has left in this process; tasks that need memory for other things call it first."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # freed blocks stay with the process otherwise
+        if trim:
+            trim(0)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._text import column, slices
+from tessera.llm._text import column, forget, slices
 
 #: Bytes of text in a sparse batch; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
@@ -161,6 +161,7 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text", pred_co
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         m = shared.value
         usual = m.usual()
         for batch in slices(batches, text_col, BATCH_BYTES):

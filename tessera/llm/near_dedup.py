@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._text import column, slices, utf8
+from tessera.llm._text import column, forget, slices, utf8
 from tessera.plans.components import connected_components
 from tessera.plans.joins import broadcast_if_small, left_join_hot
 from tessera.plans.staging import Staging
@@ -105,6 +105,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     kind = docs.schema["_id"].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHashes()
         a, b = _constants(bands * rows)
         for batch in slices(batches, "_text"):
@@ -154,6 +155,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int, repeats: bool) -> DataFra
     kind = docs.schema["_id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         hashes = WordHashes()
         for batch in slices(batches, "_text"):
             made = [shingle_set(t, words, hashes).tobytes() for t in utf8(column(batch, "_text"))]
@@ -212,6 +214,7 @@ def _likely_across(held: DataFrame, n: int, least: int, block_rows: int = 2048)
     lows = np.uint64(0x1111111111111111)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
+        forget()
         ids, comp = g["_id"].to_numpy(), g["comp"].to_numpy()
         names, members = np.unique(comp, return_counts=True)
         found = np.zeros(len(ids), bool)
@@ -241,6 +244,7 @@ def _links_across(held: DataFrame, percent: int, budget: int) -> DataFrame:
     kind = held.schema["_id"].dataType.simpleString()
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
+        forget()
         ids, comp = g["_id"].to_numpy(), g["comp"].to_numpy()
         root = {c: c for c in set(comp.tolist())}
 

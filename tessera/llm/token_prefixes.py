@@ -19,14 +19,13 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._text import column, slices
+from tessera.llm._text import column, kept, slices
 
 #: Code points in a block of the table of prefixes.
 BLOCK = 512
@@ -263,10 +262,9 @@ class PrefixCounter:
 _BETWEEN = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 
 
-@lru_cache(1)
 def prefix_counter(path: str) -> PrefixCounter:
     """The one instance of this process, so that tasks that follow find the words of those before."""
-    return PrefixCounter(path)
+    return kept(f"prefixes {path}", lambda: PrefixCounter(path))
 
 
 def prefix_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:

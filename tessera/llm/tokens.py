@@ -14,12 +14,13 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm._text import kept
+
 #: Words that a Python process remembers: two generations of so many, and the last slice's.
 REMEMBERED = 100_000
 #: Longer words are not remembered.
@@ -126,7 +127,6 @@ class WordIds:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-@lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """The one instance of this process, so that tasks that follow find the words of those before."""
-    return WordIds(path)
+    return kept(f"word ids {path}", lambda: WordIds(path))

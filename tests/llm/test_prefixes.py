@@ -85,3 +85,14 @@ def test_other_splitters_are_refused():
 
     with pytest.raises(ValueError):
         tp.PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_a_process_keeps_one_large_thing():
+    from tessera.llm import _text
+
+    first = _text.kept("a", list)
+    assert _text.kept("a", list) is first
+    _text.kept("b", dict)
+    assert list(_text._KEPT) == ["b"] and _text.kept("a", list) is not first
+    _text.forget()
+    assert not _text._KEPT
