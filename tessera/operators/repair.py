@@ -24,52 +24,70 @@ SNAP = 1e-10
 Point = tuple[int, int]
 
 
-def _cuts(p: np.ndarray, q: np.ndarray) -> list[list[np.ndarray]]:
-    """For each segment from ``p`` to ``q`` the points where others meet it, by a sweep over x."""
+#: Up to so many segments are compared pair by pair; more are swept.
+FEW = 64
+
+
+def _meetings(p: tuple, q: tuple, a: tuple, b: tuple) -> tuple[list, list]:
+    """Where the segments p-q and a-b meet: the points that cut the first and those that cut the second.
+
+    An end that lies on the other segment is the meeting itself, so that both get the same point.
+    """
+    rx, ry, sx, sy, wx, wy = q[0] - p[0], q[1] - p[1], b[0] - a[0], b[1] - a[1], a[0] - p[0], a[1] - p[1]
+    det = rx * sy - ry * sx
+    if abs(det) > 1e-12 * math.hypot(rx, ry) * math.hypot(sx, sy):
+        t, u = (wx * sy - wy * sx) / det, (wx * ry - wy * rx) / det
+        if not (-1e-9 <= t <= 1 + 1e-9 and -1e-9 <= u <= 1 + 1e-9):
+            return [], []
+        ends = [e for e, near in ((p, abs(t) < 1e-9), (q, abs(t - 1) < 1e-9), (a, abs(u) < 1e-9), (b, abs(u - 1) < 1e-9)) if near]
+        point = ends[0] if ends else (p[0] + t * rx, p[1] + t * ry)
+        return [point], [point]
+    if abs(wx * ry - wy * rx) > 1e-10 * max(rx * rx + ry * ry, 1e-300):
+        return [], []
+    within = lambda e, o, dx, dy: -1e-12 <= ((e[0] - o[0]) * dx + (e[1] - o[1]) * dy) / (dx * dx + dy * dy) <= 1 + 1e-12
+    return [e for e in (a, b) if within(e, p, rx, ry)], [e for e in (p, q) if within(e, a, sx, sy)]
+
+
+def _cuts(p: list[tuple], q: list[tuple]) -> list[list[tuple]]:
+    """For each segment from ``p`` to ``q`` the points where others meet it: pairs of the few, a sweep over x of the many."""
+    cuts: list[list[tuple]] = [[] for _ in p]
+    if len(p) <= FEW:
+        boxes = [(min(a[0], b[0]), max(a[0], b[0]), min(a[1], b[1]), max(a[1], b[1])) for a, b in zip(p, q, strict=True)]
+        pairs = ((i, j) for i in range(len(p)) for j in range(i) if boxes[i][0] <= boxes[j][1] and boxes[j][0] <= boxes[i][1] and boxes[i][2] <= boxes[j][3] and boxes[j][2] <= boxes[i][3])
+    else:
+        pairs = _near_pairs(np.array(p), np.array(q))
+    for i, j in pairs:
+        mine, other = _meetings(p[i], q[i], p[j], q[j])
+        cuts[i] += mine
+        cuts[j] += other
+    return cuts
+
+
+def _near_pairs(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs of segments whose boxes meet, in the order of their left ends."""
     low, high = np.minimum(p, q), np.maximum(p, q)
     order = np.argsort(low[:, 0], kind="stable")
     begins = low[order, 0]
-    cuts: list[list[np.ndarray]] = [[] for _ in p]
     for at, i in enumerate(order.tolist()):
         later = order[at + 1 : int(np.searchsorted(begins, high[i, 0], side="right"))]
-        later = later[(low[later, 1] <= high[i, 1]) & (high[later, 1] >= low[i, 1])]
-        if not len(later):
-            continue
-        r, s, w = q[i] - p[i], q[later] - p[later], p[later] - p[i]
-        det = r[0] * s[:, 1] - r[1] * s[:, 0]
-        size = math.hypot(*r) * np.hypot(s[:, 0], s[:, 1])
-        flat = np.abs(det) <= 1e-12 * size
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / det
-            u = (w[:, 0] * r[1] - w[:, 1] * r[0]) / det
-        for k in np.flatnonzero(~flat & (t >= -1e-9) & (t <= 1 + 1e-9) & (u >= -1e-9) & (u <= 1 + 1e-9)):
-            j = int(later[k])
-            # An end that lies on the other segment is the meeting itself, so that both get the same point.
-            ends = [e for e, near in ((p[i], abs(t[k]) < 1e-9), (q[i], abs(t[k] - 1) < 1e-9), (p[j], abs(u[k]) < 1e-9), (q[j], abs(u[k] - 1) < 1e-9)) if near]
-            point = ends[0] if ends else p[i] + t[k] * r
-            cuts[i].append(point)
-            cuts[j].append(point)
-        for k in np.flatnonzero(flat & (np.abs(w[:, 0] * r[1] - w[:, 1] * r[0]) <= 1e-10 * max(float(r @ r), 1e-300))):
-            j = int(later[k])
-            for a, b, ends in ((i, j, (p[j], q[j])), (j, i, (p[i], q[i]))):
-                d = q[a] - p[a]
-                cuts[a] += [e for e in ends if -1e-12 <= float((e - p[a]) @ d) / float(d @ d) <= 1 + 1e-12]
-    return cuts
+        for j in later[(low[later, 1] <= high[i, 1]) & (high[later, 1] >= low[i, 1])].tolist():
+            yield i, j
 
 
-def _odd_edges(rings: list[np.ndarray], low: np.ndarray, unit: float) -> tuple[set[tuple[Point, Point]], dict[Point, np.ndarray], bool]:
+def _odd_edges(rings: list[np.ndarray], low: np.ndarray, unit: float) -> tuple[set[tuple[Point, Point]], dict[Point, tuple], bool]:
     """The undirected edges that occur an odd number of times after all are cut where they meet, the places of their ends, and whether any lie on each other."""
-    p = np.concatenate(rings)
-    q = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
-    key = lambda v: (round((v[0] - low[0]) / unit), round((v[1] - low[1]) / unit))
-    places: dict[Point, np.ndarray] = {}
+    p = [tuple(v) for r in rings for v in r.tolist()]
+    q = [tuple(v) for r in rings for v in r[1:].tolist() + r[:1].tolist()]
+    x0, y0 = low.tolist()
+    key = lambda v: (round((v[0] - x0) / unit), round((v[1] - y0) / unit))
+    places: dict[Point, tuple] = {}
     edges: set[tuple[Point, Point]] = set()
     changed = False
     for a, b, met in zip(p, q, _cuts(p, q), strict=True):
-        d = b - a
-        chain = [a, *sorted(met, key=lambda e, a=a, d=d: float((e - a) @ d)), b]
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        met.sort(key=lambda e, a=a, dx=dx, dy=dy: (e[0] - a[0]) * dx + (e[1] - a[1]) * dy)
         keys = []
-        for v in chain:
+        for v in (a, *met, b):
             k = key(v)
             if not keys or keys[-1] != k:
                 keys.append(k)
@@ -232,7 +250,7 @@ def repair_polygon(rings: list[np.ndarray]) -> tuple[list[list[np.ndarray]], boo
     out = [[np.array([places[v] for v in ring]) for ring in (o, *hs)] for o, hs in zip(outers, owned, strict=True)]
     pinched = any(len({tuple(v) for v in r.tolist()}) < len(r) for r in given)
     # Nothing was wrong if there are as many rings as before and each has the area that it had.
-    same = [len(p) for p in out] == [len(rings)] and np.allclose(sorted(map(_extent, out[0])), sorted(map(_extent, given)), rtol=1e-9, atol=0)
+    same = [len(p) for p in out] == [len(rings)] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(sorted(map(_extent, out[0])), sorted(map(_extent, given)), strict=True))
     return out, bool(changed or pinched or not same)
 
 
