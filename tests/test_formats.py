@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import meshes as M
+from tessera.plans.joins import join_dealt
 from tessera.sources import content, geojson, terrain, tileset
 
 
@@ -140,6 +141,31 @@ def test_tileset_nodes_and_traversal(spark):
     assert whole["0/0/0"]["content"] is None and whole["0/0/0/0"]["x"] == 11 and whole["0/0/0/0"]["parent"] == "0/0/0" and whole["0/0/0/0"]["depth"] == 3
 
 
+def test_traversal_stages_no_leaves(spark, monkeypatch):
+    wide = {"root": {"boundingVolume": {"sphere": [0, 0, 0, 100]}, "geometricError": 100, "children": [{"boundingVolume": {"sphere": [k, 0, 0, 1]}, "geometricError": 0} for k in range(50)]}}
+    tree = tileset.nodes(spark.createDataFrame([("t", json.dumps(wide))], "n string, j string"), "n", "j")
+    cams = spark.range(40).selectExpr("id camera", "'t' tileset", "0D cx", "0D cy", "1D cz", "900D height", "60D fov")
+    kept, keep = {}, tileset.Staging.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tileset.Staging, "keep", counted)
+    shown = tileset.traverse(tree, cams)
+    assert shown.count() == shown.distinct().count() == 2000 and max(n for name, n in kept.items() if name.startswith("level")) == 40
+
+
+def test_dealt_join_has_all_pairs(spark):
+    left, right = spark.range(300).selectExpr("if(id < 250, 1, id % 7) k", "id a"), spark.range(90).selectExpr("if(id < 60, 1, id % 9) k", "id b")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
+    for pairs in (1000, 10**9):
+        got = join_dealt(left, right, ["k"], F.xxhash64("a"), pairs)
+        assert got.columns == ["k", "a", "b"] and sorted(map(tuple, got.collect())) == want
+    assert join_dealt(left.limit(0), right, ["k"], F.xxhash64("a")).count() == 0
+
+
 def test_region_sphere():
     x, y, z, r = tileset.bounding_sphere({"region": [-0.01, -0.01, 0.01, 0.01, 0, 100]})
     assert x == pytest.approx(6378187, abs=1) and abs(y) < 1e-6 and 80000 < r < 100000
