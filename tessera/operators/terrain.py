@@ -18,6 +18,7 @@ from tessera.functions import tiling as T
 from tessera.operators.hierarchy import nearest_available
 from tessera.operators.pyramid import children
 from tessera.operators.selection import geo_range
+from tessera.plans.joins import shuffled
 from tessera.plans.staging import Staging
 
 BOUNDS = ("tile_west", "tile_south", "tile_east", "tile_north")
@@ -137,7 +138,7 @@ def terrain_selection(views: DataFrame, ranges: DataFrame | None, distance: Colu
 def corners(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """(mesh, t, ax, ay, az, bx, ..., cz): the triangles with the places of their corners, by one join and one grouping."""
     each = triangles.select("mesh", "t", F.explode(F.array(*[F.struct(F.lit(k).alias("corner"), F.col(k).alias("id")) for k in "abc"])).alias("_c")).select("mesh", "t", "_c.*")
-    met = each.join(vertices.select("mesh", "id", "x", "y", "z"), ["mesh", "id"])
+    met = each.join(shuffled(vertices.select("mesh", "id", "x", "y", "z")), ["mesh", "id"])
     return met.groupBy("mesh", "t").agg(*[F.max(F.when(F.col("corner") == k, F.col(v))).alias(k + v) for k in "abc" for v in "xyz"])
 
 
@@ -168,9 +169,9 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, tolerance: floa
     """
     grid = _grid(triangles, most_bins)
     span = lambda v, how: how(*[F.col(k + v) for k in "abc"])
-    dealt = triangles.join(grid, "mesh").withColumn("_bx", F.explode(F.sequence(_bin(span("x", F.least), "x"), _bin(span("x", F.greatest), "x"))))
+    dealt = triangles.join(shuffled(grid), "mesh").withColumn("_bx", F.explode(F.sequence(_bin(span("x", F.least), "x"), _bin(span("x", F.greatest), "x"))))
     dealt = dealt.withColumn("_by", F.explode(F.sequence(_bin(span("y", F.least), "y"), _bin(span("y", F.greatest), "y")))).select(*triangles.columns, "_bx", "_by")
-    placed = points.select("mesh", "id", F.col("x").alias("_px"), F.col("y").alias("_py")).join(grid, "mesh")
+    placed = points.select("mesh", "id", F.col("x").alias("_px"), F.col("y").alias("_py")).join(shuffled(grid), "mesh")
     inside = lambda v: F.greatest(F.least(F.col(f"_p{v}"), F.col(f"max_{v}")), F.col(f"min_{v}"))
     placed = placed.where("_px is not null and _py is not null").withColumns({"_px": inside("x"), "_py": inside("y")})
     placed = placed.select("mesh", "id", "_px", "_py", _bin(F.col("_px"), "x").alias("_cx"), _bin(F.col("_py"), "y").alias("_cy"))
@@ -180,7 +181,7 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, tolerance: floa
     wb, wc = (px * acy - py * acx) / det, (abx * py - aby * px) / det
 
     def held(asked: DataFrame) -> DataFrame:
-        met = asked.join(dealt, ["mesh", "_bx", "_by"]).where(F.abs(det) >= 1e-9).withColumns({"wb": wb, "wc": wc}).withColumn("wa", 1 - F.col("wb") - F.col("wc"))
+        met = asked.join(shuffled(dealt), ["mesh", "_bx", "_by"]).where(F.abs(det) >= 1e-9).withColumns({"wb": wb, "wc": wc}).withColumn("wa", 1 - F.col("wb") - F.col("wc"))
         met = met.where(F.least("wa", "wb", "wc") >= -tolerance)
         rank = F.struct(F.greatest(F.abs(F.col("_bx") - F.col("_cx")), F.abs(F.col("_by") - F.col("_cy"))).alias("ring"), "_by", "_bx", "t")
         height = F.col("wa") * F.col("az") + F.col("wb") * F.col("bz") + F.col("wc") * F.col("cz")
@@ -189,11 +190,11 @@ def points_in_triangles(points: DataFrame, triangles: DataFrame, tolerance: floa
 
     own = held(placed.withColumns({"_bx": F.col("_cx"), "_by": F.col("_cy")}))
     if rings:
-        lost = placed.join(own, ["mesh", "id"], "left_anti")
+        lost = placed.join(shuffled(own), ["mesh", "id"], "left_anti")
         near = lambda c: F.explode(F.sequence(F.col(c) - rings, F.col(c) + rings))
         around = lost.withColumn("_bx", near("_cx")).withColumn("_by", near("_cy")).where("_bx <> _cx or _by <> _cy")
         own = own.union(held(around))
-    return points.join(own.withColumnRenamed("z", "_z"), ["mesh", "id"], "left").withColumnRenamed("_z", "z") if "z" not in points.columns else points.drop("z").join(own, ["mesh", "id"], "left")
+    return points.drop("z").join(shuffled(own), ["mesh", "id"], "left")
 
 
 def upsampled(tiles: DataFrame, triangles: DataFrame, segments: int = 16) -> DataFrame:
@@ -255,14 +256,14 @@ def with_skirts(vertices: DataFrame, triangles: DataFrame, zooms: DataFrame) ->
     four border vertices, or without a zoom, stays as it is.
     """
     sizes = vertices.groupBy("mesh").agg(F.count("*").cast("int").alias("_n"), (F.max("z") - F.min("z")).alias("_range"))
-    deep = sizes.join(zooms.select("mesh", "zoom"), "mesh").select("mesh", "_n", skirt_depth(F.col("_range"), F.col("zoom")).alias("_depth"))
-    ring = border_ring(vertices).where("ring >= 4").join(deep, "mesh")
+    deep = sizes.join(shuffled(zooms.select("mesh", "zoom")), "mesh").select("mesh", "_n", skirt_depth(F.col("_range"), F.col("zoom")).alias("_depth"))
+    ring = border_ring(vertices).where("ring >= 4").join(shuffled(deep), "mesh")
     low = ring.select("mesh", (F.col("_n") + F.col("place")).cast("int").alias("id"), "x", "y", (F.col("z") - F.col("_depth")).alias("z"), "u", "v")
     below = F.col("_n") + F.col("place")
     after = F.col("_n") + (F.col("place") + 1) % F.col("ring")
     count = triangles.groupBy("mesh").agg(F.count("*").cast("int").alias("_m"))
     both = F.array(F.struct(F.lit(0).alias("h"), F.col("id").alias("a"), below.alias("b"), F.col("next").alias("c")), F.struct(F.lit(1).alias("h"), F.col("next").alias("a"), below.alias("b"), after.alias("c")))
-    wall = ring.join(count, "mesh", "left").withColumn("_t", F.explode(both))
+    wall = ring.join(shuffled(count), "mesh", "left").withColumn("_t", F.explode(both))
     at = F.coalesce("_m", F.lit(0)) + F.col("place") * 2 + F.col("_t.h")
     wall = wall.select("mesh", at.cast("int").alias("t"), *[F.col(f"_t.{k}").cast("int").alias(k) for k in "abc"])
     return vertices.select("mesh", "id", "x", "y", "z", "u", "v").union(low), triangles.select("mesh", "t", "a", "b", "c").union(wall)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.camera import Vector, dot
+from tessera.plans.joins import shuffled
 
 
 def height_range(vertices: DataFrame) -> DataFrame:
@@ -24,9 +25,9 @@ def building_top(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     A triangle asks for the heights of its corners, is summed to their largest, and gives this back to them.  Repeated triangles change nothing.
     """
     asked = triangles.select("mesh", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("vertex"))
-    highest = asked.join(vertices.select("mesh", "vertex", "z"), ["mesh", "vertex"]).groupBy("mesh", "a", "b", "c").agg(F.max("z").alias("high"))
+    highest = asked.join(shuffled(vertices.select("mesh", "vertex", "z")), ["mesh", "vertex"]).groupBy("mesh", "a", "b", "c").agg(F.max("z").alias("high"))
     given = highest.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), "high").groupBy("mesh", "vertex").agg(F.greatest(F.max("high"), F.lit(0.0)).alias("top"))
-    return vertices.join(given, ["mesh", "vertex"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+    return vertices.join(shuffled(given), ["mesh", "vertex"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
 
 
 def is_roof_edge(h0: Column, h1: Column, base: Column, flat: float = 0.05, above: float = 0.5) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import terrain as X
+from tessera.operators.triangles import building_top
 
 
 def heap_selection(view, ranges, keep, divide, cap, most, virtual):
@@ -101,6 +102,14 @@ def test_points_inside_outside_and_unknown(spark):
         assert got[i]["z"] == pytest.approx(10 + 20 * x / 100 + 40 * y / 100, abs=1e-9) and got[i]["wa"] + got[i]["wb"] + got[i]["wc"] == pytest.approx(1)
 
 
+def test_exploded_meshes_are_not_broadcast(spark):
+    vertices, triangles = plane(spark, 2, 100.0)
+    asked = spark.createDataFrame([(7, 1, 10.0, 10.0)], "mesh long, id int, x double, y double")
+    tops = building_top(vertices.withColumnRenamed("id", "vertex"), triangles)
+    for made in (X.points_in_triangles(asked, X.corners(vertices, triangles)), tops, *X.with_skirts(vertices, triangles, asked.selectExpr("mesh", "3 zoom"))):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString() and made.count() > 0
+
+
 def test_points_beside_a_hole_look_around(spark):
     vertices = spark.createDataFrame([(1, k, x, y, 5.0) for k, (x, y) in enumerate([(0.0, 0.0), (100.0, 0.0), (0.0, 1e-6), (100.0, 100.0)])], "mesh long, id int, x double, y double, z double")
     triangles = spark.createDataFrame([(1, t, 0, 1, 2) for t in range(40)] + [(1, 40, 1, 3, 1)], "mesh long, t int, a int, b int, c int")
