@@ -1,9 +1,9 @@
 """Range joins over availability and nearest-ancestor joins.
 
-A plain range join would compare every tile with every range.  Here the ranges
-are keyed: by level and by the bins their columns of tiles fall into, so Spark
-plans an equi-join.  The bin width of a level is chosen from its widest range,
-which keeps the number of bins of a range at most ``per_range``.
+A plain range join would compare every tile with every range.  Here a range is cut
+into blocks whose sides are powers of two, as a quadtree has them, so that
+a tile is in a range exactly if it is in one of its blocks: an equi-join, however many
+ranges overlap.  ``binned_ranges`` keys ranges by bins of a level's width instead.
 """
 
 from __future__ import annotations
@@ -28,12 +28,42 @@ def binned_ranges(ranges: DataFrame, per_range: int = 16) -> DataFrame:
     return keyed.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_x") / F.col("width")), F.floor(F.col("end_x") / F.col("width")))))
 
 
+def _blocks(low: Column, high: Column) -> Column:
+    """The fewest (side, at) with ``at * 2 ** side`` to ``(at + 1) * 2 ** side - 1`` that make up ``low`` to ``high``: two of a side at most."""
+
+    def of(side: Column) -> Column:
+        up = lambda v: -F.call_function("shiftright", -v, side)
+        first, end = up(low), F.call_function("shiftright", high + 1, side)
+        ends = F.array(F.when((first % 2 != 0), first), F.when(end % 2 != 0, end - 1))
+        return F.transform(F.when(first < end, F.array_compact(ends)).otherwise(F.array().cast("array<bigint>")), lambda at: F.struct(side.alias("side"), at.alias("at")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(61)), of))
+
+
+def range_blocks(ranges: DataFrame) -> DataFrame:
+    """The distinct blocks (z, w, h, bx, by) of ``ranges``: tiles with x >> w = bx and y >> h = by.
+
+    A range of n by m tiles has at most about 4 log2(n) log2(m) of them; one without an end, or whose end lies before its start, has none.
+    """
+    long = {c: F.col(c).cast("long") for c in ("start_x", "end_x", "start_y", "end_y")}
+    whole = ranges.select(F.col("z").cast("int").alias("z"), *[v.alias(c) for c, v in long.items()]).where("z is not null and start_x <= end_x and start_y <= end_y").distinct()
+    wide = whole.select("z", "start_y", "end_y", F.explode(_blocks(F.col("start_x"), F.col("end_x"))).alias("_x")).distinct()
+    tall = wide.select("z", "_x", F.explode(_blocks(F.col("start_y"), F.col("end_y"))).alias("_y"))
+    return tall.select("z", F.col("_x.side").alias("w"), F.col("_y.side").alias("h"), F.col("_x.at").alias("bx"), F.col("_y.at").alias("by")).distinct()
+
+
 def available(tiles: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The rows of ``tiles`` (z, x, y, ...) that lie in a range of their level; a level without ranges has none."""
-    mine = tiles.withColumn("_bin", F.floor(F.col("x") / F.try_element_at(level_widths(ranges), F.col("z").cast("int"))))
-    r = binned_ranges(ranges).select(F.col("z").alias("_rz"), F.col("bin").alias("_rb"), "start_x", "end_x", "start_y", "end_y")
-    on = (F.col("z") == F.col("_rz")) & (F.col("_bin") == F.col("_rb")) & F.col("x").between(F.col("start_x"), F.col("end_x")) & F.col("y").between(F.col("start_y"), F.col("end_y"))
-    return mine.join(r, on, "left_semi").select(*tiles.columns)
+    """The rows of ``tiles`` (z, x, y, ...) that lie in a range of their level; a level without ranges has none.
+
+    Each different tile is looked up once, in the block of each size that the ranges of its level have.
+    """
+    blocks = range_blocks(ranges)
+    sizes = blocks.groupBy("z").agg(F.collect_set(F.struct("w", "h")).alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("z", "s")))).scalar()
+    asked = tiles.select("z", "x", "y").distinct().withColumn("_s", F.explode(F.try_element_at(sizes, F.col("z").cast("int"))))
+    at = lambda c, side: F.call_function("shiftright", F.col(c).cast("long"), F.col(f"_s.{side}"))
+    asked = asked.select("z", "x", "y", F.col("z").cast("int").alias("_z"), F.col("_s.w").alias("w"), F.col("_s.h").alias("h"), at("x", "w").alias("bx"), at("y", "h").alias("by"))
+    held = asked.join(blocks.withColumnRenamed("z", "_z"), ["_z", "w", "h", "bx", "by"], "left_semi").select("z", "x", "y").distinct()
+    return tiles.join(held, ["z", "x", "y"], "left_semi").select(*tiles.columns)
 
 
 def nearest_available(tiles: DataFrame, ranges: DataFrame, least: int = 0) -> DataFrame:

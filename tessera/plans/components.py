@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.joins import BROADCAST_ROWS, broadcast_if_small, left_join_hot
+from tessera.plans.joins import BROADCAST_ROWS, broadcast_if_small, left_join_hot, shuffled
 from tessera.plans.staging import Staging
 
 
@@ -26,18 +26,20 @@ def connected_components(edges: DataFrame, staging: Staging, name: str = "compon
     k = 0
     while True:
         large = labels.count() > BROADCAST_ROWS
+        # Labels compress well: their files and shuffles look small enough for a broadcast that is many times larger, in every round.
+        apart = shuffled if large else lambda df: df
         if large:
             degrees = both.groupBy("w").agg(F.count("*").alias("n"))
-            met = left_join_hot(both, degrees.join(labels.withColumnRenamed("v", "w"), "w"), ["w"], "n", max(2, both.count() // share), F.xxhash64("u"))
+            met = left_join_hot(both, degrees.join(shuffled(labels.withColumnRenamed("v", "w")), "w"), ["w"], "n", max(2, both.count() // share), F.xxhash64("u"), apart=True)
         else:
             met = both.join(broadcast_if_small(labels), both["w"] == labels["v"])
         near = met.groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near, labels["v"] == near["u"]).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = labels.join(apart(near), labels["v"] == near["u"]).select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         lower = staging.keep(lower, f"{name}-{k}-lower")
         to = lower.select(F.col("v").alias("at"), F.col("label").alias("root"))
         if large:
             sizes = lower.groupBy(F.col("label").alias("at")).agg(F.count("*").alias("n"))
-            found = left_join_hot(lower.withColumn("at", F.col("label")), sizes.join(to, "at"), ["at"], "n", max(2, lower.count() // share), F.xxhash64("v"))
+            found = left_join_hot(lower.withColumn("at", F.col("label")), sizes.join(shuffled(to), "at"), ["at"], "n", max(2, lower.count() // share), F.xxhash64("v"), apart=True)
         else:
             found = lower.join(broadcast_if_small(to), F.col("label") == F.col("at"), "left")
         jumped = found.select("v", "old", F.least("label", F.coalesce("root", "label")).alias("label"))

@@ -57,7 +57,7 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], spread: Colum
     return a.repartition(n, *on).join(shuffled(b.repartition(n, *on)), on).drop("_lot")
 
 
-def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int, spread: Column) -> DataFrame:
+def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, hot: int, spread: Column, apart: bool = False) -> DataFrame:
     """Left join on keys unique in ``right``, safe for keys with very many left rows.
 
     ``weight`` names the column of ``right`` that has the number of left rows
@@ -66,6 +66,7 @@ def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: st
     the left rows and the broadcast side is bounded by its inverse.  All other
     keys go through a shuffle; the rows that already have their match are dealt
     out by ``spread`` there instead of by their key.  Keys must not be null.
+    ``apart`` keeps Spark from a broadcast of the other keys too, whatever size it takes them to have.
     """
     out = [c for c in right.columns if c not in keys]
     big = F.broadcast(right.where(F.col(weight) >= hot).select(*keys, F.struct(*out).alias("_hot")))
@@ -74,5 +75,5 @@ def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: st
     on = F.col("_deal") == F.col("_lot")
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    joined = found.join(rest, on, "left")
+    joined = found.join(shuffled(rest) if apart else rest, on, "left")
     return joined.select(*left.columns, *[F.coalesce(F.col("_hot")[c], F.col("_rest")[c]).alias(c) for c in out])

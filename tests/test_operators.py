@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,33 @@ def test_components(spark):
     assert connected_components(df.limit(0), Staging(spark, "t")).count() == 0
 
 
+def test_components_beyond_a_broadcast_join_apart(spark, monkeypatch):
+    joins, keep = [], Staging.keep
+
+    def seen(self, df, name):
+        joins.append(df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Staging, "keep", seen)
+    monkeypatch.setattr("tessera.plans.components.BROADCAST_ROWS", 5)
+    df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(90, 91)], "a long, b long")
+    got = dict(map(tuple, connected_components(df, Staging(spark, "t")).collect()))
+    assert got == {**dict.fromkeys(range(21), 0), 90: 90, 91: 90}
+    assert max(joins) == 1  # the hot keys, of which there is a fixed number
+
+
+def test_available_is_every_range_whatever_their_overlap(spark):
+    rng = random.Random(4)
+    boxes = [(z, x, x + rng.randrange(0, 40), y, y + rng.randrange(0, 40)) for z in (3, 6) for _ in range(12) for x, y in [(rng.randrange(-20, 50), rng.randrange(0, 50))]]
+    ranges = spark.createDataFrame([*boxes, (4, 5, 4, 0, 9), (4, None, 4, 0, 9), (None, 0, 9, 0, 9)], "z int, start_x long, end_x long, start_y long, end_y long")
+    tiles = spark.createDataFrame([(k, z, rng.randrange(-30, 70), rng.randrange(0, 70)) for k in range(400) for z in (3, 4, 6)] + [(1, None, 1, 1)] * 2, "k long, z int, x long, y long")
+    want = sorted(tuple(t) for t in tiles.collect() if t.z and any(t.z == z and a <= t.x <= b and c <= t.y <= d for z, a, b, c, d in boxes))
+    assert 200 < len(want) < 800 and sorted(map(tuple, hierarchy.available(tiles, ranges).collect())) == want
+    # One tile is met by one block, not by all ranges that have it.
+    same = spark.range(3000).selectExpr("6 z", "id % 3 start_x", "id % 3 + 4 end_x", "0L start_y", "3L end_y")
+    assert hierarchy.range_blocks(same).count() < 20 and hierarchy.available(tiles.limit(0), same).count() == 0
+
+
 def test_grid_components(spark):
     cells = spark.createDataFrame([(0, 0, "a"), (1, 0, "a"), (1, 1, "a"), (3, 3, "a"), (2, 0, "b")], "x long, y long, cls string")
     got = sorted(map(tuple, metrics.grid_components(cells).collect()))
