@@ -10,6 +10,11 @@ from tessera.plans.staging import Staging
 GEOMETRY = "struct<type:string,coordinates:string,geometries:string>"
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generator of one row: Spark repeats an expression in every filter and column above it, but not a generated one."""
+    return F.explode(F.array(value))
+
+
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, id, properties, type, coordinates, geometries) of each feature of the documents under ``path``.
 
@@ -24,7 +29,7 @@ def features(docs: DataFrame, json_col: str) -> DataFrame:
     """The features of documents in a column; see ``read_features``."""
     shape = "struct<type:string,features:array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string,geometries:string>>>>"
     rest = [c for c in docs.columns if c != json_col]
-    parsed = docs.select(*rest, F.from_json(json_col, shape).alias("d")).where("d.type = 'FeatureCollection'")
+    parsed = docs.select(*rest, once(F.from_json(json_col, shape)).alias("d")).where("d.type = 'FeatureCollection'")
     each = parsed.select(*rest, F.posexplode("d.features").alias("ordinal", "f"))
     return each.select(*rest, "ordinal", "f.id", "f.properties", "f.geometry.type", "f.geometry.coordinates", "f.geometry.geometries")
 
@@ -61,8 +66,8 @@ def polygons(df: DataFrame) -> DataFrame:
     many = F.when(F.col("type") == "MultiPolygon", F.from_json(text, "array<array<array<array<string>>>>"))
 
     def direct(here: DataFrame) -> DataFrame:
-        found = here.where(F.col("type").isin("Polygon", "MultiPolygon")).select(*rest, F.explode(F.coalesce(one, many)).alias("p"))
-        return found.select(*rest, F.transform("p", _line).alias("rings")).where(F.size("rings") > 0)
+        found = here.where(F.col("type").isin("Polygon", "MultiPolygon")).select(*rest, once(F.coalesce(one, many)).alias("_all")).select(*rest, F.explode("_all").alias("p"))
+        return found.select(*rest, once(F.transform("p", _line)).alias("rings")).where(F.size("rings") > 0)
 
     out, level = direct(df), 0
     nested = staging.keep(df.where("type = 'GeometryCollection'").select(*rest, "geometries"), "level0")

@@ -118,6 +118,24 @@ def test_interior_points_lie_inside(spark):
         assert enclosed([np.array(q, float) for q in shapes[r["id"]]], np.array([[r["p"]["x"], r["p"]["y"]]])).all()
 
 
+def test_hole_of_a_convex_footprint_needs_no_cuts(monkeypatch):
+    square, hole = np.array([(0, 0), (4, 0), (4, 4), (0, 4)], float), np.array([(1, 1), (2, 1), (2, 2), (1, 2)], float)
+    cut = []
+    monkeypatch.setattr("tessera.operators.repair._odd_edges", lambda *a: cut.append(a))
+    made, changed = repair_polygon([square, hole, hole + [1.5, 0]])
+    assert not changed and not cut and [r.tolist() for r in made[0]] == [square.tolist(), hole[::-1].tolist(), (hole + [1.5, 0])[::-1].tolist()]
+    for other in (hole + [2, 0], hole + [2.5, 0]):  # one touches the outer ring, one crosses it
+        with pytest.raises(TypeError):
+            repair_polygon([square, other])
+    assert len(cut) == 2
+
+
+def test_documents_are_parsed_once(spark):
+    docs = spark.createDataFrame([(1, "{}")], "k long, text string")
+    plan = geojson.features(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_repaired_polygons_table(spark):
     point = lambda x, y: {"x": x, "y": y}
     tie = [point(0.0, 0.0), point(2.0, 2.0), point(2.0, 0.0), point(0.0, 2.0), point(0.0, 0.0)]
