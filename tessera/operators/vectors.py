@@ -10,11 +10,13 @@ from pyspark.sql.window import Window
 def clean_ring(ring: Column) -> Column:
     """A ring (array of structs x, y) without consecutive repeats and without its closing point; null if fewer than 3 points are left."""
     same = lambda a, b: (a["x"] == b["x"]) & (a["y"] == b["y"])
+    # A lambda's variable is evaluated once; an expression used n times in others is evaluated n times, in a lambda for each point.
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
     valid = F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    apart = F.filter(valid, lambda p, i: (i == 0) | ~same(p, F.get(valid, i - 1)))
-    closed = (F.size(apart) > 1) & same(F.get(apart, F.lit(0)), F.get(apart, F.size(apart) - 1))
-    open_ring = F.when(closed, F.slice(apart, F.lit(1), F.size(apart) - 1)).otherwise(apart)
-    return F.when(F.size(open_ring) >= 3, open_ring)
+    apart = let(valid, lambda v: F.filter(v, lambda p, i: (i == 0) | ~same(p, F.get(v, i - 1))))
+    closed = lambda r: (F.size(r) > 1) & same(F.get(r, F.lit(0)), F.get(r, F.size(r) - 1))
+    open_ring = let(apart, lambda r: F.when(closed(r), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r))
+    return let(open_ring, lambda r: F.when(F.size(r) >= 3, r))
 
 
 def clean_polygon(rings: Column) -> Column:

@@ -126,6 +126,13 @@ def test_components_beyond_a_broadcast_join_apart(spark, monkeypatch):
     assert max(joins) == 1  # the hot keys, of which there is a fixed number
 
 
+def test_ring_is_cleaned_by_two_filters(spark):
+    rings = spark.createDataFrame([([(0.0, 0.0), (0.0, 0.0), None, (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)],), ([(0.0, 0.0), (1.0, 0.0), (0.0, 0.0)],), (None,)], "r array<struct<x:double,y:double>>")
+    made = rings.select(vectors.clean_ring(F.col("r")).alias("c"))
+    assert [r.c and [tuple(p) for p in r.c] for r in made.collect()] == [[(0, 0), (1, 0), (1, 1)], None, None]
+    assert made._jdf.queryExecution().analyzed().toString().split("Relation")[0].split("LogicalRDD")[0].count("filter(") == 2
+
+
 def test_available_is_every_range_whatever_their_overlap(spark):
     rng = random.Random(4)
     boxes = [(z, x, x + rng.randrange(0, 40), y, y + rng.randrange(0, 40)) for z in (3, 6) for _ in range(12) for x, y in [(rng.randrange(-20, 50), rng.randrange(0, 50))]]
