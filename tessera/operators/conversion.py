@@ -16,6 +16,7 @@ from tessera.functions.parsing import building_height, is_major_road, is_subway,
 from tessera.operators.meshes import cell_meshes, write_files
 from tessera.operators.repair import repaired_polygons
 from tessera.operators.vectors import grid_cell, ring_area
+from tessera.plans.joins import shuffled
 from tessera.plans.publish import Publication
 from tessera.plans.staging import Staging
 from tessera.sources.geojson import polygons
@@ -132,7 +133,7 @@ def feature_statistics(features: DataFrame, parts: DataFrame, keys: list[str]) -
     made = parts.groupBy(*keys).agg(F.count("*").alias("parts"), F.max("repaired").alias("repaired"), F.max("height").alias("height"))
     renamed = made.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "parts", "repaired", "height")
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    met = features.select(*keys).join(renamed, on, "left")
+    met = features.select(*keys).join(shuffled(renamed), on, "left")
     return statistics(met.withColumns({"parts": F.coalesce("parts", F.lit(0)), "repaired": F.coalesce("repaired", F.lit(False))}))
 
 

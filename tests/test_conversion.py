@@ -130,6 +130,12 @@ def test_hole_of_a_convex_footprint_needs_no_cuts(monkeypatch):
     assert len(cut) == 2
 
 
+def test_statistics_broadcast_no_parts(spark):
+    f, parts = spark.range(9).withColumnRenamed("id", "k"), spark.createDataFrame([(1, True, 3.0), (1, False, 4.0), (2, False, 5.0)], "k long, repaired boolean, height double")
+    made = conversion.feature_statistics(f, parts, ["k"])
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString() and made.first()["skipped_features"] == 7
+
+
 def test_documents_are_parsed_once(spark):
     docs = spark.createDataFrame([(1, "{}")], "k long, text string")
     plan = geojson.features(docs, "text")._jdf.queryExecution().optimizedPlan().toString()
