@@ -4,12 +4,16 @@ import json
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.catalog import ORACLES
 from tessera.operators import meshes as M
 from tessera.plans.joins import join_dealt
+from tessera.queries.sources import geojson_lines
 from tessera.sources import content, geojson, terrain, tileset
+from tests.helpers import duck_rows, rows_of
 
 
 def test_geojson_geometries(spark, tmp_path):
@@ -32,6 +36,19 @@ def test_geojson_geometries(spark, tmp_path):
     assert sorted(len(r["rings"][0]) for r in geojson.polygons(f).collect()) == [3, 3, 4]
 
 
+def test_mean_of_a_line_adds_by_id(spark, tmp_path):
+    """At an exact half the SQL's mean hangs on the order of rows; the query's does not, and is that of rows by id."""
+    ids = [0, 1, 14]
+    frame = pd.DataFrame({"event_id": ids, "user_id": 5, "event_type": "view", "ts": pd.Timestamp("2024-01-01"), "value": 1.0})
+    want, sql = {}, ORACLES["geojson_lines"]
+    for name, order in (("up", ids), ("down", ids[::-1])):
+        rows = frame.set_index("event_id", drop=False).loc[order].reset_index(drop=True)
+        want[name] = duck_rows(sql, events=rows)
+        spark.createDataFrame(rows).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+    assert [want[k][1][0][want[k][0].index("mean_lat_e2")] for k in ("up", "down")] == [-4541, -4540]
+    assert rows_of(geojson_lines(spark, f"{tmp_path}/up")) == rows_of(geojson_lines(spark, f"{tmp_path}/down")) == want["up"]
+
+
 def mesh():
     u, v, h = np.array([0, 32767, 32767, 0]), np.array([0, 0, 32767, 32767]), np.array([0, 100, 50, 25])
     return u, v, h, np.array([0, 1, 2, 2, 1, 3])
