@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.camera import Vector, dot
-from tessera.plans.joins import shuffled
 
 
 def height_range(vertices: DataFrame) -> DataFrame:
@@ -19,15 +18,27 @@ def bounds(vertices: DataFrame, by: list[str]) -> DataFrame:
     return vertices.groupBy(*by).agg(*[f(c).alias(f"{c}{k}") for c in "xyz" for k, f in ((0, F.min), (1, F.max))])
 
 
+def _at_vertices(rows: DataFrame, news: DataFrame, value: str) -> DataFrame:
+    """``rows`` with the largest ``value`` that ``news`` (mesh, vertex, value) has for their vertex, null if none.
+
+    Both are put in one table and looked through by vertex.  Unlike a join, this leaves tables that are dealt out by mesh where they are.
+    """
+    told = news.where("mesh is not null and vertex is not null").select("mesh", "vertex", value)
+    both = rows.withColumn("_own", F.lit(True)).unionByName(told, allowMissingColumns=True)
+    found = both.withColumn(value, F.max(value).over(Window.partitionBy("mesh", "vertex"))).where("_own")
+    return found.select(*[c if found.schema[c].dataType == rows.schema[c].dataType else F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], value)
+
+
 def building_top(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """``vertices`` with ``top``: the largest height of the triangles at each, 0 at least and for those in none.
 
     A triangle asks for the heights of its corners, is summed to their largest, and gives this back to them.  Repeated triangles change nothing.
+    Vertices and triangles that are both dealt out by mesh, to the same number of partitions, are not shuffled again.
     """
-    asked = triangles.select("mesh", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("vertex"))
-    highest = asked.join(shuffled(vertices.select("mesh", "vertex", "z")), ["mesh", "vertex"]).groupBy("mesh", "a", "b", "c").agg(F.max("z").alias("high"))
-    given = highest.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), "high").groupBy("mesh", "vertex").agg(F.greatest(F.max("high"), F.lit(0.0)).alias("top"))
-    return vertices.join(shuffled(given), ["mesh", "vertex"], "left").withColumn("top", F.coalesce("top", F.lit(0.0)))
+    asked = triangles.where("mesh is not null").select("mesh", "a", "b", "c", F.explode(F.array("a", "b", "c")).alias("vertex"))
+    highest = _at_vertices(asked, vertices.select("mesh", "vertex", "z"), "z").groupBy("mesh", "a", "b", "c").agg(F.max("z").alias("high"))
+    given = highest.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), "high").groupBy("mesh", "vertex").agg(F.max("high").alias("top"))
+    return _at_vertices(vertices, given, "top").withColumn("top", F.greatest(F.col("top"), F.lit(0.0)))
 
 
 def is_roof_edge(h0: Column, h1: Column, base: Column, flat: float = 0.05, above: float = 0.5) -> Column:

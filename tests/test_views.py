@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import camera
 from tessera.operators import conversion, metrics, pixels, queueing, triangles
+from tessera.queries.meshes import building_tops
 from tessera.sources import geojson
+from tests.conftest import SF
 
 
 def test_straight_down_and_behind(spark):
@@ -69,6 +71,18 @@ def test_edges_of_pixels_and_queues(spark):
     assert {r["vertex"]: r["top"] for r in triangles.building_top(v, t).collect()} == {0: 7.0, 1: 7.0, 2: 7.0, 3: 0.0}
 
 
+def test_tops_of_dealt_meshes_are_not_shuffled_again(spark):
+    """Every shuffle of the query deals out orders, none corners; odd rows give what joins would give."""
+    made = building_tops(spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "REPARTITION_BY_NUM" in plan and made.count() == 9 * spark.read.parquet(f"{SF}/orders.parquet").count()
+    v = spark.createDataFrame([(1, 0, 4.0, "a"), (1, 0, 6.0, "b"), (1, 1, None, "c"), (None, 0, 8.0, "d"), (1, None, 9.0, "e"), (2, 0, -5.0, "f")], "mesh long, vertex int, z double, name string")
+    t = spark.createDataFrame([(1, 0, 1, 7), (None, 0, 0, 0), (1, None, None, 1), (2, 0, 0, 0), (3, 0, 1, 2)], "mesh long, a long, b long, c long")
+    tops = triangles.building_top(v, t)
+    assert tops.schema.simpleString() == "struct<mesh:bigint,vertex:int,z:double,name:string,top:double>"
+    assert sorted((r["name"], r["vertex"], r["top"]) for r in tops.collect()) == [("a", 0, 6.0), ("b", 0, 6.0), ("c", 1, 6.0), ("d", 0, 0.0), ("e", None, 0.0), ("f", 0, 0.0)]
+
+
 def test_nested_collections_are_not_lost(spark):
     shape = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}
     for _ in range(7):
