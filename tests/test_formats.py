@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import ORACLES
 from tessera.operators import meshes as M
-from tessera.plans.joins import join_dealt
+from tessera.plans import joins
+from tessera.plans.joins import broadcast_if_small, join_dealt
+from tessera.plans.staging import Staging
 from tessera.queries.sources import geojson_lines
 from tessera.sources import content, geojson, terrain, tileset
 from tests.helpers import duck_rows, rows_of
@@ -183,6 +185,34 @@ def test_dealt_join_has_all_pairs(spark):
     assert join_dealt(left.limit(0), right, ["k"], F.xxhash64("a")).count() == 0
 
 
+def test_join_by_blocks(spark, monkeypatch):
+    """The pairs of a join, with keys of several blocks and parts, null keys, many lots, and beyond the bound of a broadcast."""
+    left, right = spark.range(300).selectExpr("if(id % 50 = 0, null, if(id < 250, 1, id % 7)) k", "id a"), spark.range(90).selectExpr("if(id % 30 = 0, null, if(id < 60, 1, id % 9)) k", "id b", "if(id % 2 = 0, null, 'x') c")
+    want = sorted(map(repr, map(tuple, left.join(right, "k").select("k", "a", "b", "c").collect())))
+    monkeypatch.setattr(joins, "BLOCK", 4)
+    monkeypatch.setattr(joins, "PART", 3)
+    for bound in (joins.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(joins, "broadcast_if_small", lambda df, rows=bound: broadcast_if_small(df, rows))
+        for pairs in (1000, 10**9):
+            got = joins.join_blocks(left, right, ["k"], F.xxhash64("a"), Staging(spark, "test"), "right", pairs)
+            assert got.columns == ["k", "a", "b", "c"] and sorted(map(repr, map(tuple, got.collect()))) == want
+    monkeypatch.undo()
+    for a, b in ((left.limit(0), right), (left, right.limit(0))):
+        assert joins.join_blocks(a, b, ["k"], F.xxhash64("a"), Staging(spark, "test"), "right").count() == 0
+
+
+def test_many_tiles_for_many_cameras_take_little_disk(spark, tmp_path):
+    """An open tile's leaves repeat in short periods; all 14,000 in a row for each camera took 2 bytes a row, as pages of files have no two of such a period."""
+    node = "'t' tileset, {} node, {} parent, {} depth, {} error, 'REPLACE' refine, {} x, 0.0D y, 0.0D z, 1.0D radius"
+    tree = spark.range(1).selectExpr(*node.format("'r'", "cast(null as string)", 0, "1e9D", "0.0D").split(", "))
+    tree = tree.union(spark.range(14_000).selectExpr(*node.format("'s' || id", "'r'", 1, "0.0D", "cast(id as double)").split(", ")))
+    cameras = spark.range(200).selectExpr("id camera", "'t' tileset", "10.0D cx", "0.0D cy", "0.0D cz", "860.0D height", "60.0D fov")
+    tileset.traverse(tree, cameras).select("camera", "node").write.parquet(f"{tmp_path}/shown")
+    shown = spark.read.parquet(f"{tmp_path}/shown")
+    assert shown.count() == shown.distinct().count() == 200 * 14_000
+    assert sum(f.stat().st_size for f in (tmp_path / "shown").glob("*.parquet")) < 200 * 14_000 * 0.5
+
+
 def test_region_sphere():
     x, y, z, r = tileset.bounding_sphere({"region": [-0.01, -0.01, 0.01, 0.01, 0, 100]})
     assert x == pytest.approx(6378187, abs=1) and abs(y) < 1e-6 and 80000 < r < 100000
